@@ -74,9 +74,10 @@ def common_levels(train: DataFrame, test: DataFrame, features: Sequence[str]) ->
     """(feature, level) seen in train and in test; nulls are no level."""
 
     def seen(df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(f).cast("string").alias(f) for f in features]).unpivot([], list(features), "feature", "level").where(
-            F.col("level").isNotNull()
-        )
+        wide = df.select(*[F.col(f).cast("string").alias(f) for f in features])
+        long = wide.unpivot([], list(features), "feature", "level").where(F.col("level").isNotNull())
+        # Distinct first: the intersection then meets each level once, however many rows carry it.
+        return long.distinct()
 
     return seen(train).intersect(seen(test))
 
