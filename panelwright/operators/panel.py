@@ -28,6 +28,15 @@ MONTH = "month_start"
 MIN_UNITS = 6
 
 
+def hashed(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows on the key into the session's shuffle partitions.
+
+    The number is stated, so that adaptive execution does not merge the small entity rows into few
+    tasks just before the calendar multiplies them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def month_spine(start, end) -> Column:
     """Array of month starts from start to end, both included."""
     return F.expr(f"sequence(date'{start}', date'{end}', interval 1 month)")
@@ -43,7 +52,7 @@ def dense_panel(
 ) -> DataFrame:
     """One row per kept entity and month, with month parts, hashed by entity."""
     kept = entities if units is None else entities.where(F.col(units).cast("int") >= min_units)
-    months = kept.repartition(entity).select("*", F.explode(month_spine(start, end)).alias(MONTH))
+    months = hashed(kept, entity).select("*", F.explode(month_spine(start, end)).alias(MONTH))
     return months.select(
         "*",
         month_end(MONTH).alias("month_end"),
@@ -55,7 +64,18 @@ def dense_panel(
 
 def attach(panel: DataFrame, rollup: DataFrame, entity: str = ENTITY, month: str = MONTH) -> DataFrame:
     """Left-join a rollup that has one row per (entity, month), keeping the panel's hashing by entity."""
-    return panel.join(rollup.repartition(entity), [entity, month], "left")
+    return panel.join(hashed(rollup, entity), [entity, month], "left")
+
+
+def attach_packed(
+    panel: DataFrame, rollup: DataFrame, name: str, entity: str = ENTITY, month: str = MONTH
+) -> DataFrame:
+    """Attach a rollup as one struct column, null where the month has no row.
+
+    Wide panels stay narrow through the joins, and one window expression moves all columns of a rollup.
+    """
+    rest = [c for c in rollup.columns if c not in (entity, month)]
+    return attach(panel, rollup.select(entity, month, F.struct(*rest).alias(name)), entity, month)
 
 
 def entity_window(entity: str = ENTITY, month: str = MONTH):
@@ -79,30 +99,24 @@ def next_month(df: DataFrame, labels: Mapping[str, Column], entity: str = ENTITY
     return df.select("*", *[F.lead(value, 1).over(w).alias(name) for name, value in labels.items()])
 
 
-def label_expressions(units: str = "internal_units_static") -> dict[str, Column]:
-    """This-month forms of the next-month labels; visits and opened cases must be attached."""
-    knocks, opens = "internal_knocks_any", "internal_opens_any"
-    opened = "internal_cases_opened_thismonth"
+def label_expressions(visits: str, opened: str, units: str = "internal_units_static") -> dict[str, Column]:
+    """The labels of a month from its packed visits and opened cases; apply to next month's structs."""
+    v = {n: F.col(f"{visits}.internal_{n}") for n in ("knocks_count", "knocks_any", "opens_count", "opens_any")}
+    count, some = (F.col(f"{opened}.internal_cases_opened_thismonth_{form}") for form in ("count", "any"))
+    met = (v["knocks_any"], v["opens_any"])
     return {
-        "internal_knocks_count_next_month": F.col("internal_knocks_count"),
-        "internal_knocks_any_next_month": F.col("internal_knocks_any"),
-        "internal_opens_count_next_month": F.col("internal_opens_count"),
-        "internal_opens_any_next_month": F.col("internal_opens_any"),
-        "internal_cases_opened_count_next_month": observed_cases(knocks, opens, f"{opened}_count"),
-        "internal_cases_opened_any_next_month": observed_cases(knocks, opens, f"{opened}_any"),
-        "internal_cases_opened_per_unit_next_month": observed_ratio(knocks, opens, f"{opened}_count", F.col(units)),
-        "internal_cases_opened_per_open_next_month": observed_ratio(
-            knocks, opens, f"{opened}_count", "internal_opens_count"
-        ),
-        "internal_cases_opened_per_knock_next_month": observed_ratio(
-            knocks, opens, f"{opened}_count", "internal_knocks_count"
-        ),
+        "internal_knocks_count_next_month": zero(v["knocks_count"]),
+        "internal_knocks_any_next_month": zero(v["knocks_any"]),
+        "internal_opens_count_next_month": v["opens_count"],
+        "internal_opens_any_next_month": v["opens_any"],
+        "internal_cases_opened_count_next_month": observed_cases(*met, count),
+        "internal_cases_opened_any_next_month": observed_cases(*met, some),
+        "internal_cases_opened_per_unit_next_month": observed_ratio(*met, count, F.col(units)),
+        "internal_cases_opened_per_open_next_month": observed_ratio(*met, count, v["opens_count"]),
+        "internal_cases_opened_per_knock_next_month": observed_ratio(*met, count, v["knocks_count"]),
     }
 
 
-KNOCK_LABELS = ["internal_knocks_count_next_month", "internal_knocks_any_next_month"]
-
-
 def building_panel(
     buildings: DataFrame,
     start,
@@ -115,7 +129,7 @@ def building_panel(
 
     Doing it here keeps a building with very many entities out of any one window.
     """
-    panel = buildings.select(building).distinct().repartition(building)
+    panel = hashed(buildings.select(building).distinct(), building)
     panel = panel.select("*", F.explode(month_spine(start, end)).alias(MONTH))
     ever: dict[str, str] = {}
     this_month: list[Column] = []
@@ -181,57 +195,55 @@ def build_panel(
         spine = F.filter(month_spine(start, end), lambda m: F.year(m) == F.col("tract_year"))
     else:
         spine = month_spine(start, end)
-    panel = kept.repartition(ENTITY).select("*", F.explode(spine).alias(MONTH)).drop("tract_year")
-    panel = attach(panel, visits)
-    panel = attach(panel, opened)
-    for side in (closed, followups, workers):
-        if side is not None:
-            panel = attach(panel, side)
-
-    knocks, opens = "internal_knocks_any", "internal_opens_any"
+    panel = hashed(kept, ENTITY).select("*", F.explode(spine).alias(MONTH)).drop("tract_year")
+    rollups = {"visits": visits, "opened": opened, "closed": closed, "followups": followups, "workers": workers}
+    for name, rollup in rollups.items():
+        if rollup is not None:
+            panel = attach_packed(panel, rollup, name)
+    ahead, back = entity_window(), entity_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept_back = [n for n in ("opened", "closed", "workers") if rollups[n] is not None]
+    panel = panel.select(
+        "*",
+        *[F.lead(n, 1).over(ahead).alias(f"{n}_next") for n in ("visits", "opened")],
+        *[F.last(n, ignorenulls=True).over(back).alias(f"{n}_last") for n in kept_back],
+    )
+
+    met = (F.col("visits.internal_knocks_any"), F.col("visits.internal_opens_any"))
     features = [
         month_end(MONTH).alias("month_end"),
         F.month(MONTH).alias("month"),
         F.year(MONTH).alias("year"),
         heating_season(F.month(MONTH)).alias("nyc_heating_season"),
         target_flag(MONTH, "month_first_canvassed").alias("internal_peu_target_zip"),
-        zero("internal_knocks_count").alias("internal_knocks_count_this_month"),
-        zero("internal_knocks_any").alias("internal_knocks_any_this_month"),
-        F.col("internal_opens_count").alias("internal_opens_count_this_month"),
-        F.col("internal_opens_any").alias("internal_opens_any_this_month"),
+        zero("visits.internal_knocks_count").alias("internal_knocks_count_this_month"),
+        zero("visits.internal_knocks_any").alias("internal_knocks_any_this_month"),
+        F.col("visits.internal_opens_count").alias("internal_opens_count_this_month"),
+        F.col("visits.internal_opens_any").alias("internal_opens_any_this_month"),
+        F.col("opened_last.internal_cases_opened_ever_count").alias("internal_cases_opened_count_ever"),
+    ]
+    shown = {f"internal_cases_opened_{form}": f"internal_cases_opened_thismonth_{form}" for form in ("count", "any")}
+    shown |= {f"internal_issue_{t}_cases_opened_count": f"internalissue_cases_opened_count_{t}" for t in issue_types}
+    features += [
+        cases_this_month(*met, F.col(f"opened.{source}")).alias(f"{name}_this_month") for name, source in shown.items()
     ]
-    for form in ("count", "any"):
-        features.append(
-            cases_this_month(knocks, opens, f"internal_cases_opened_thismonth_{form}").alias(
-                f"internal_cases_opened_{form}_this_month"
-            )
-        )
-    for t in issue_types:
-        features.append(
-            cases_this_month(knocks, opens, f"internalissue_cases_opened_count_{t}").alias(
-                f"internal_issue_{t}_cases_opened_count_this_month"
-            )
-        )
-    ever = {"internal_cases_opened_count_ever": "internal_cases_opened_ever_count"}
     if closed is not None:
+        for kind, form in (("", "count"), ("", "any"), ("nya_", "count")):
+            source = F.col(f"closed.internal_{kind}cases_closed_thismonth_{form}")
+            features.append(source.alias(f"internal_{kind}cases_closed_{form}_this_month"))
         features += [
-            F.col("internal_cases_closed_thismonth_count").alias("internal_cases_closed_count_this_month"),
-            F.col("internal_cases_closed_thismonth_any").alias("internal_cases_closed_any_this_month"),
-            F.col("internal_nya_cases_closed_thismonth_count").alias("internal_nya_cases_closed_count_this_month"),
+            F.col(f"closed_last.internal_{kind}cases_closed_ever_count").alias(f"internal_{kind}cases_closed_count_ever")
+            for kind in ("", "nya_")
         ]
-        ever["internal_cases_closed_count_ever"] = "internal_cases_closed_ever_count"
-        ever["internal_nya_cases_closed_count_ever"] = "internal_nya_cases_closed_ever_count"
+    if followups is not None:
+        features += [F.col(f"followups.internalfollow_all_followups_{form}") for form in ("count", "any")]
     if workers is not None:
-        features += [F.col(f"sp_{w}_thismonth").alias(f"internal_sp_{w}_any_this_month") for w in worker_ids]
-        ever |= {f"internal_sp_{w}_any_ever": f"sp_{w}_ever" for w in worker_ids}
+        for w in worker_ids:
+            features.append(F.col(f"workers.sp_{w}_thismonth").alias(f"internal_sp_{w}_any_this_month"))
+            features.append(F.col(f"workers_last.sp_{w}_ever").alias(f"internal_sp_{w}_any_ever"))
 
-    labels = label_expressions()
-    panel = next_month(carry_forward(panel, ever), labels)
-    named = [zero(n).alias(n) if n in KNOCK_LABELS else F.col(n) for n in labels]
+    labels = [value.alias(name) for name, value in label_expressions("visits_next", "opened_next").items()]
     static = [c for c in kept.columns if c not in ("month_first_canvassed", "tract_year")]
-    extra = [c for c in ("internalfollow_all_followups_count", "internalfollow_all_followups_any") if followups is not None]
-    panel = panel.select(*static, MONTH, *features, *extra, *ever, *named)
-    panel = panel.where(F.col(MONTH) < F.lit(end).cast("date"))
+    panel = panel.where(F.col(MONTH) < F.lit(end).cast("date")).select(*static, MONTH, *features, *labels)
     if violations is not None or litigation is not None:
         bins = kept.select(F.col("internal_bin_static").cast("string").alias("bin_clean"))
         building = building_panel(bins, start, end, violations, litigation)

@@ -14,7 +14,6 @@ from panelwright.operators import rollups
 
 START, LAST, END = "1995-01-01", "2001-08-01", "2001-09-01"
 WORKERS = list(range(10))
-KNOCK = F.lit(True)
 CASE_PRIORITIES = ["1-URGENT", "2-HIGH"]
 
 
@@ -57,7 +56,7 @@ months as (
 
 def visits(t, before=None) -> DataFrame:
     rows = t.orders.withColumnRenamed("o_custkey", "address_id")
-    return rollups.monthly_visits(rows, "address_id", "o_orderdate", KNOCK, opened(), is_case(), before)
+    return rollups.monthly_visits(rows, "address_id", "o_orderdate", F.lit(True), opened(), is_case(), before)
 
 
 VISITS = """
