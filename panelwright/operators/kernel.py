@@ -8,9 +8,11 @@ with no join. As features of a linear classifier they stand in for the kernel cl
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -77,12 +79,23 @@ def with_kernel_features(df: DataFrame, features: Sequence[str], points: np.ndar
     return rows.select(*df.columns, *[F.col("_rbf")[i].alias(f"rbf_{i}") for i in range(len(points))])
 
 
-def fit_kernel_classifier(train: DataFrame, features: Sequence[str], label: str, landmarks: int = 50, sigma: float = SIGMA):
-    """(model, landmark matrix): a linear classifier on kernel features of the training rows."""
-    points = fit_landmarks(train.where(F.col(label).isNotNull()), features, landmarks)
-    names = [f"rbf_{i}" for i in range(len(points))]
-    return models.fit(with_kernel_features(train, features, points, sigma), names, label, "SVC"), points
+@dataclass
+class KernelClassifier:
+    """A fitted linear classifier on kernel features, with the landmarks and width it was fitted with."""
+
+    model: PipelineModel
+    points: np.ndarray
+    features: list[str]
+    sigma: float
 
+    def score(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        return models.score(self.model, with_kernel_features(rows, self.features, self.points, self.sigma), keep)
 
-def score_kernel(model, points: np.ndarray, rows: DataFrame, features: Sequence[str], keep: Sequence[str], sigma: float = SIGMA) -> DataFrame:
-    return models.score(model, with_kernel_features(rows, features, points, sigma), keep)
+
+def fit_kernel_classifier(
+    train: DataFrame, features: Sequence[str], label: str, landmarks: int = 50, sigma: float = SIGMA
+) -> KernelClassifier:
+    points = fit_landmarks(train.where(F.col(label).isNotNull()), features, landmarks)
+    names = [f"rbf_{i}" for i in range(len(points))]
+    model = models.fit(with_kernel_features(train, features, points, sigma), names, label, "SVC")
+    return KernelClassifier(model, points, list(features), sigma)

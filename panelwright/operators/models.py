@@ -39,7 +39,8 @@ def estimator(algorithm: str, parameters: Mapping | None = None):
     if algorithm == "GradientBoostingClassifier":
         return GBTClassifier(**common, seed=SEED, **given)
     if algorithm == "SVC":
-        return LinearSVC(**common, **given)
+        # Without a penalty the hinge loss has no unique minimum, and a tight tolerance only adds passes.
+        return LinearSVC(**common, **{"regParam": 1e-3, "tol": 1e-3, "maxIter": 50, **given})
     penalty = {"Lasso": 1.0, "LassoCV": 1.0, "RidgeClassifier": 0.0, "RidgeClassifierCV": 0.0}
     if algorithm in penalty or algorithm in ("LogisticRegression", "LogisticRegressionCV"):
         base = LogisticRegression(**common, **{"elasticNetParam": penalty.get(algorithm, 0.0), **given})

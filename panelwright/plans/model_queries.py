@@ -84,8 +84,8 @@ def kernel_scores(t):
     rows = durable(spend.select("*", (F.col("finished") * 3 > F.col("n")).cast("int").alias("label")))
     names = ["mean_price", "n"]
     scaled = scale.minmax_scale(rows, scale.fit_minmax(rows, names))
-    model, points = kernel.fit_kernel_classifier(scaled, names, "label", landmarks=10, sigma=0.3)
-    return kernel.score_kernel(model, points, scaled, names, ["entity_id", "label"])
+    fitted = kernel.fit_kernel_classifier(scaled, names, "label", landmarks=10, sigma=0.3)
+    return fitted.score(scaled, ["entity_id", "label"])
 
 
 @query("decision_tree_scores")

@@ -46,7 +46,10 @@ def run_split(
     units: str = "internal_units_static",
     train_start=None,
 ) -> SplitResult:
-    """Fit one model on one split and give its result rows; only model-sized values reach the driver."""
+    """Fit one model on one split and give its result rows; only model-sized values reach the driver.
+
+    ``top_k`` may be a list: metrics are given for each, predictions carry the first.
+    """
     keep = ["address_id", "month_start", impute.BOROUGH, units, label]
     wanted = list(dict.fromkeys([*keep, *features]))
     train = splits.train_rows(panel, split, label, train_start).select(*wanted)
@@ -55,7 +58,8 @@ def run_split(
     model = models.fit(train, features, label, algorithm, parameters)
     scored = models.score(model, test, keep)
     train_name = f"train_split_{split}"
-    predictions = models.prediction_rows(scored, model_id, label, train_name, top_k, boroughs)
+    first_k = top_k[0] if isinstance(top_k, (list, tuple)) else top_k
+    predictions = models.prediction_rows(scored, model_id, label, train_name, first_k, boroughs)
     importance = models.importance_rows(models.importances(panel.sparkSession, model, features), model_id)
     rows = scored.selectExpr(
         f"cast({model_id} as bigint) as model_id", "month_start as as_of_date", "address_id as entity_id", "score",
