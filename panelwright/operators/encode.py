@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.sizing import bounded_rows
+from panelwright.functions.sizing import bounded_rows, broadcast_if_small
+from panelwright.session import durable
 
 # Names of the level for missing values and of the pooled level.
 MISSING, OTHER = "missing", "OTHER"
@@ -54,7 +55,7 @@ def recode(df: DataFrame, kept: dict[str, list[str]], features: Sequence[str]) -
 
 def recode_by_join(df: DataFrame, levels: DataFrame, feature: str) -> DataFrame:
     """Pooled level for a feature whose kept levels are too many for columns: a left join on the level."""
-    kept = levels.where(F.col("feature") == feature).select(F.col("level").alias("_level"))
+    kept = broadcast_if_small(durable(levels.where(F.col("feature") == feature).select(F.col("level").alias("_level"))))
     joined = df.withColumn("_value", known_level(feature)).join(kept, F.col("_value") == F.col("_level"), "left")
     value = F.when(F.col("_level").isNull(), OTHER).otherwise(F.col("_value"))
     return joined.select(*[value.alias(c) if c == feature else F.col(c) for c in df.columns])

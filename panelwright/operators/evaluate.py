@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.sizing import broadcast_if_small
 from panelwright.operators import ranking
 from panelwright.operators.ranking import GROUP
+from panelwright.session import durable
 
 # Published capacity shares.
 CAPACITY_SHARES = [0.01, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5]
@@ -34,25 +36,26 @@ _RUNNING = ["row_number", "c_l0", "c_l1", "c_flip", "c_missing", "p_l0", "p_l1"]
 _RUNNING_KNOWN = ["known_row", "c_l0", "p_l0"]
 
 
-def _rows_at(ranked: DataFrame, group: Sequence[str], k: Column) -> DataFrame:
+def _rows_at(ranked: DataFrame, label: str, group: Sequence[str], k: Column) -> DataFrame:
     """Per group and k, the running values at the capacity row (at_*) and at the last row (end_*).
 
     ``p_*`` are the sums before the row itself. The known_* forms are over rows with a known label: both
     orders are one order, so a known row stands at row_number - c_missing among the known rows.
     """
+    fills = ranking.label_fills(label)
     rows = ranked.select(
         *group,
         "row_number",
         *[f"c_{x}" for x in ("l0", "l1", "flip", "missing")],
-        (F.col("c_l0") - F.col("_l0")).alias("p_l0"),
-        (F.col("c_l1") - F.col("_l1")).alias("p_l1"),
+        (F.col("c_l0") - fills["l0"]).alias("p_l0"),
+        (F.col("c_l1") - fills["l1"]).alias("p_l1"),
         (F.col("row_number") - F.col("c_missing")).alias("known_row"),
-        "_missing",
+        fills["missing"].alias("missing"),
         "num_units_so_far",
         "known_units_so_far",
         F.explode(k).alias("top_k"),
     )
-    known = F.col("_missing") == 0
+    known = F.col("missing") == 0
     reached = F.col("num_units_so_far") >= F.col("top_k")
     reached_known = known & (F.col("known_units_so_far") >= F.col("top_k"))
     parts = []
@@ -104,7 +107,7 @@ def metrics_at_k(
         rows, keep = df.withColumn("_k", k), ("_k",)
         k = F.col("_k")
     ranked = ranking.ranked_rows(rows, label, group, score, units, entity, keep, bounded)
-    state = _rows_at(ranked, group, _capacity(k))
+    state = _rows_at(ranked, label, group, _capacity(k))
     c = {x: F.col(f"at_c_{x}") for x in ("l0", "l1", "flip", "missing")}
     t = {x: F.col(f"end_c_{x}") for x in ("l0", "l1", "flip")}
     curve = ranking.bounds(F.col("at_row_number"), c, t)
@@ -165,7 +168,9 @@ def months_without_labels(test: DataFrame, label: str, month: str = "month_start
 
 def drop_unlabelled_months(test: DataFrame, label: str, month: str = "month_start") -> DataFrame:
     """Keep the months that have a known label."""
-    return test.join(months_without_labels(test, label, month), month, "left_anti")
+    # Stored and counted, so that test rows are filtered in place instead of shuffled on the month.
+    skipped = broadcast_if_small(durable(months_without_labels(test, label, month)))
+    return test.join(skipped, month, "left_anti")
 
 
 def capacity_list(

@@ -33,7 +33,7 @@ def modes(counts: DataFrame, group: Sequence[str]) -> DataFrame:
 def quantiles(counts: DataFrame, group: Sequence[str], q: float, name: str = "quantile") -> DataFrame:
     """Quantile per (group, feature) with linear interpolation between the two nearest values."""
     keys = [*group, "feature"]
-    placed = running_totals(counts, keys, [F.col("value")], {"upto": "n"}, {"total": "n"})
+    placed = running_totals(counts, keys, [F.col("value")], {"upto": F.col("n")}, {"total": F.col("n")})
     position = (F.col("total") - 1) * F.lit(float(q))
     low, high = F.floor(position), F.ceil(position)
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1

@@ -22,15 +22,16 @@ def running_totals(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column],
-    sums: Mapping[str, str] | None = None,
-    totals: Mapping[str, str] | None = None,
+    sums: Mapping[str, Column] | None = None,
+    totals: Mapping[str, Column] | None = None,
     row_number: str | None = None,
     row_count: str | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Running sums and row numbers per group, and the group's totals beside every row.
 
-    ``sums`` and ``totals`` are {new column: summed column}. ``order`` must be unique within a group.
+    ``sums`` and ``totals`` are {new column: summed expression}; expressions are evaluated where they are
+    summed and not stored. ``order`` must be unique within a group.
     bounded=True says that every group fits one task and uses plain windows; both give the same rows.
     """
     sums, totals = dict(sums or {}), dict(totals or {})
@@ -39,9 +40,9 @@ def running_totals(
         upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*group)
         made = {} if row_number is None else {row_number: F.sum(one).over(upto)}
-        made |= {name: F.sum(source).over(upto) for name, source in sums.items()}
+        made |= {name: F.sum(value).over(upto) for name, value in sums.items()}
         made |= {} if row_count is None else {row_count: F.sum(one).over(whole)}
-        made |= {name: F.sum(source).over(whole) for name, source in totals.items()}
+        made |= {name: F.sum(value).over(whole) for name, value in totals.items()}
         return df.select("*", *[value.alias(name) for name, value in made.items()])
 
     # A struct key also matches null group values, and hashes the same way for the join and the window.
@@ -50,24 +51,23 @@ def running_totals(
     )
     # Stored, because the partition number must not change between the two uses below.
     ranged = durable(ranged)
-    sources = sorted({*sums.values(), *totals.values()})
+    measured = {**sums, **totals}
     pieces = ranged.groupBy(PIECE).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{i}") for i, c in enumerate(sources)]
+        F.count(F.lit(1)).alias("_n"), *[F.sum(value).alias(f"_s_{name}") for name, value in measured.items()]
     )
     # One row per partition and group from here on: these windows are bounded by the partition count.
     in_group = Window.partitionBy(*[F.col(f"{PIECE}.{g}") for g in group])
     earlier = in_group.orderBy(F.col(f"{PIECE}.part")).rowsBetween(Window.unboundedPreceding, -1)
-    slot = {c: f"_s_{i}" for i, c in enumerate(sources)}
     carried = {} if row_number is None else {"_b_rows": F.coalesce(F.sum("_n").over(earlier), F.lit(0))}
-    carried |= {f"_b_{i}": F.coalesce(F.sum(slot[c]).over(earlier), F.lit(0)) for i, c in enumerate(sums.values())}
+    carried |= {f"_b_{name}": F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)) for name in sums}
     carried |= {} if row_count is None else {row_count: F.sum("_n").over(in_group)}
-    carried |= {name: F.sum(slot[c]).over(in_group) for name, c in totals.items()}
+    carried |= {name: F.sum(f"_s_{name}").over(in_group) for name in totals}
     offsets = pieces.select(PIECE, *[value.alias(name) for name, value in carried.items()])
 
     inside = Window.partitionBy(PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = {} if row_number is None else {row_number: F.sum(one).over(inside) + F.col("_b_rows")}
-    for i, (name, source) in enumerate(sums.items()):
-        made[name] = F.coalesce(F.sum(source).over(inside), F.lit(0)) + F.col(f"_b_{i}")
+    for name, value in sums.items():
+        made[name] = F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col(f"_b_{name}")
     kept = [*([row_count] if row_count else []), *totals]
     joined = ranged.join(offsets, PIECE)
     return joined.select(*df.columns, *[value.alias(name) for name, value in made.items()], *kept)

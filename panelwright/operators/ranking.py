@@ -35,7 +35,7 @@ def with_ranks(
     """
     ties = df.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_ties"))
     placed = running_totals(
-        ties, group, [F.col(score).desc()], {"_upto": "_ties"}, {"_rows": "_ties"}, bounded=bounded
+        ties, group, [F.col(score).desc()], {"_upto": F.col("_ties")}, {"_rows": F.col("_ties")}, bounded=bounded
     )
     ranked = placed.select(
         *group,
@@ -47,27 +47,11 @@ def with_ranks(
     return joined.select(*df.columns, rank, (F.col(rank) / F.col("_rows")).alias(share))
 
 
-def with_label_fills(df: DataFrame, label: str) -> DataFrame:
-    """Helper columns: label with null as 0 and as 1, the flipped one, and the null flag."""
+def label_fills(label: str) -> dict[str, Column]:
+    """The label with null as 0 and as 1, the flipped one, and the null flag."""
     value = F.col(label).cast("long")
-    return df.select(
-        "*",
-        F.coalesce(value, F.lit(0)).cast("long").alias("_l0"),
-        F.coalesce(value, F.lit(1)).cast("long").alias("_l1"),
-        (F.lit(1) - F.coalesce(value, F.lit(1))).cast("long").alias("_flip"),
-        value.isNull().cast("long").alias("_missing"),
-    )
-
-
-SUMS = {
-    "num_units_so_far": "_units",
-    "known_units_so_far": "_known_units",
-    "c_l0": "_l0",
-    "c_l1": "_l1",
-    "c_flip": "_flip",
-    "c_missing": "_missing",
-}
-TOTALS = {"t_l0": "_l0", "t_l1": "_l1", "t_flip": "_flip"}
+    low, high = F.coalesce(value, F.lit(0).cast("long")), F.coalesce(value, F.lit(1).cast("long"))
+    return {"l0": low, "l1": high, "flip": F.lit(1).cast("long") - high, "missing": value.isNull().cast("long")}
 
 
 def ranked_rows(
@@ -82,16 +66,20 @@ def ranked_rows(
 ) -> DataFrame:
     """Rows in rank order: row_number, running units and label sums, and the group's totals."""
     narrow = df.select(*dict.fromkeys([*group, entity, score, units, label, *keep]))
-    held = F.coalesce(F.col(units).cast("long"), F.lit(0))
-    filled = with_label_fills(narrow, label).select(
-        "*", held.alias("_units"), F.when(F.col("_missing") == 0, held).otherwise(0).alias("_known_units")
-    )
+    fills = label_fills(label)
+    held = F.coalesce(F.col(units).cast("long"), F.lit(0).cast("long"))
+    sums = {
+        "num_units_so_far": held,
+        "known_units_so_far": F.when(F.col(label).isNotNull(), held).otherwise(F.lit(0).cast("long")),
+        **{f"c_{name}": value for name, value in fills.items()},
+    }
+    totals = {f"t_{name}": fills[name] for name in ("l0", "l1", "flip")}
     return running_totals(
-        filled,
+        narrow,
         group,
         by_score(score, units, entity),
-        SUMS,
-        TOTALS,
+        sums,
+        totals,
         row_number="row_number",
         row_count="t_rows",
         bounded=bounded,
@@ -159,9 +147,9 @@ def within_capacity(
 ) -> DataFrame:
     """Entities in score order whose units so far first reach k; all of them when the units fall short."""
     limit = F.lit(k) if isinstance(k, (int, float)) else F.col(k)
-    rows = df.withColumn("_units", F.col(units).cast("long"))
-    ranked = running_totals(rows, group, by_score(score, units, entity), {"num_units_so_far": "_units"}, bounded=bounded)
-    return ranked.where(F.col("num_units_so_far") - F.col("_units") < limit).drop("_units")
+    held = F.coalesce(F.col(units).cast("long"), F.lit(0).cast("long"))
+    ranked = running_totals(df, group, by_score(score, units, entity), {"num_units_so_far": held}, bounded=bounded)
+    return ranked.where(F.col("num_units_so_far") - held < limit)
 
 
 def list_overlap(first: DataFrame, second: DataFrame, on: Sequence[str] = ("as_of_date", "entity_id")) -> DataFrame:

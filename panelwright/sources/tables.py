@@ -65,10 +65,11 @@ def write_table(
 ) -> None:
     """Write to a catalog table, or to a Parquet folder when the name holds a slash.
 
-    sort_by orders rows inside each file, for row-group skipping; no global sort is made.
+    sort_by orders rows inside each file, for row-group skipping; no global sort is made. Rows are rebalanced
+    on the partition columns, so a date with a third of all rows is written by many tasks.
     """
     if partition_by:
-        df = df.repartition(*partition_by, *sort_by[:1])
+        df = df.hint("rebalance", *partition_by)
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode(mode).format("parquet")
@@ -110,7 +111,8 @@ def build_table(spark: SparkSession, name: str, build, rebuild: bool = False, pa
 
 def replace_splits(df: DataFrame, name: str, split: str = "split_date") -> None:
     """Overwrite only the splits that df holds."""
-    df.repartition(split).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(split).parquet(name)
+    writer = df.hint("rebalance", split).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(split).parquet(name)
 
 
 def available_splits(df: DataFrame, split: str = "split_date") -> DataFrame:

@@ -36,7 +36,7 @@ def test_running_totals_hold_no_group_in_one_task(spark, many_pieces):
     df = spark.range(20_000).select(
         F.when(F.col("id") % 50 == 0, F.col("id") % 7).alias("g"), F.col("id"), (F.col("id") % 13).alias("x")
     )
-    args = (["g"], [F.col("id").desc()], {"run": "x"}, {"all": "x"})
+    args = (["g"], [F.col("id").desc()], {"run": F.col("x")}, {"all": F.col("x")})
     names = {"row_number": "rn", "row_count": "n"}
     spread = prefix.running_totals(df, *args, **names)
     plain = prefix.running_totals(df, *args, **names, bounded=True)
@@ -47,7 +47,7 @@ def test_running_totals_hold_no_group_in_one_task(spark, many_pieces):
 
 def test_running_totals_without_group(spark, many_pieces):
     df = spark.range(1_000).select("id", F.lit(2).alias("x"))
-    out = prefix.running_totals(df, [], [F.col("id")], {"run": "x"}, row_number="rn")
+    out = prefix.running_totals(df, [], [F.col("id")], {"run": F.col("x")}, row_number="rn")
     assert out.where((F.col("run") != 2 * F.col("rn")) | (F.col("rn") != F.col("id") + 1)).count() == 0
 
 
