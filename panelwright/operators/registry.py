@@ -118,7 +118,7 @@ def model_rows(
     if coefficients is None:
         stored = base.withColumn("model_parameters", F.lit("N/A"))
     else:
-        pairs = F.map_from_entries(F.collect_list(F.struct("feature", "coefficient")))
+        pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "coefficient"))))
         texts = coefficients.groupBy("model_group_id").agg(F.to_json(pairs).alias("_json"))
         stored = base.join(texts, "model_group_id", "left").select(
             "model_group_id",
