@@ -37,7 +37,8 @@ def connected_names(memberships: DataFrame, max_rounds: int = MAX_ROUNDS) -> Dat
     edges = durable(memberships.select("group_key", "name").distinct())
     labels = durable(edges.select("name").distinct().withColumn("component", F.col("name")))
     for _ in range(max_rounds):
-        per_key = edges.join(labels, "name").groupBy("group_key").agg(F.min("component").alias("component"))
+        # Stored per key, so that the join below may split a key that very many names share.
+        per_key = durable(edges.join(labels, "name").groupBy("group_key").agg(F.min("component").alias("component")))
         moved = edges.join(per_key, "group_key").groupBy("name").agg(F.min("component").alias("reached"))
         # Follow the label of the label as well, which shortens long chains.
         jump = labels.select(F.col("name").alias("reached"), F.col("component").alias("jumped"))
@@ -59,8 +60,8 @@ def canonical_names(memberships: DataFrame, counts: DataFrame, max_rounds: int =
     """
     components = connected_names(memberships, max_rounds)
     counted = components.join(counts, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    top = counted.groupBy("component").agg(F.max("n").alias("n"))
-    heads = counted.join(top, ["component", "n"]).groupBy("component").agg(F.min("name").alias("canonical"))
+    first = F.min(F.struct((-F.col("n")).alias("rank"), F.col("name").alias("canonical")))
+    heads = durable(counted.groupBy("component").agg(first.alias("first")).select("component", "first.canonical"))
     return components.join(heads, "component").select("name", "canonical")
 
 

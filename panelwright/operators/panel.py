@@ -21,6 +21,7 @@ from panelwright.functions.scalars import (
     target_flag,
     zero,
 )
+from panelwright.functions.skew import PIECE, ROWS_PER_PIECE, heavy_keys, with_copies, with_piece
 from panelwright.operators.rollups import VIOLATION_CLASSES
 
 ENTITY = "address_id"
@@ -28,13 +29,13 @@ MONTH = "month_start"
 MIN_UNITS = 6
 
 
-def hashed(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows on the key into the session's shuffle partitions.
+def hashed(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows on the keys into the session's shuffle partitions.
 
     The number is stated, so that adaptive execution does not merge the small entity rows into few
     tasks just before the calendar multiplies them.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def month_spine(start, end) -> Column:
@@ -165,6 +166,7 @@ def build_panel(
     first_visited: DataFrame | None = None,
     issue_types: Sequence[str] = (),
     worker_ids: Sequence = (),
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """The whole panel from start to end - 1 month, with labels; static entity columns ride along.
 
@@ -177,6 +179,11 @@ def build_panel(
         (F.col("internal_units_static").cast("int") >= MIN_UNITS)
         & ~F.col("internal_bin_static").cast("string").endswith("000000")
     )
+    by_building = violations is not None or litigation is not None
+    if by_building:
+        kept = kept.withColumn("bin_clean", F.col("internal_bin_static").cast("string"))
+        heavy = heavy_keys(kept, "bin_clean", rows_per_piece)
+        kept = with_piece(kept, heavy, "bin_clean", ENTITY)
     if first_visited is not None:
         zips = first_visited.select(
             F.col("zip").cast("int").alias("internal_zip_static"), F.col("month_first_canvassed")
@@ -244,10 +251,10 @@ def build_panel(
     labels = [value.alias(name) for name, value in label_expressions("visits_next", "opened_next").items()]
     static = [c for c in kept.columns if c not in ("month_first_canvassed", "tract_year")]
     panel = panel.where(F.col(MONTH) < F.lit(end).cast("date")).select(*static, MONTH, *features, *labels)
-    if violations is not None or litigation is not None:
-        bins = kept.select(F.col("internal_bin_static").cast("string").alias("bin_clean"))
-        building = building_panel(bins, start, end, violations, litigation)
-        panel = panel.withColumn("bin_clean", F.col("internal_bin_static").cast("string"))
-        # Hashed on (building, month): a building with a third of all entities still spreads over its months.
-        panel = panel.join(building, ["bin_clean", MONTH], "left").drop("bin_clean")
-    return panel
+    if not by_building:
+        return panel
+    building = building_panel(kept.select("bin_clean"), start, end, violations, litigation)
+    # Hashed on (building, month, piece): even a building with a third of all entities meets many tasks.
+    on = ["bin_clean", MONTH, PIECE]
+    building = hashed(with_copies(building, heavy, "bin_clean"), *on)
+    return panel.join(building, on, "left").drop("bin_clean", PIECE)

@@ -56,3 +56,36 @@ def test_newest_rows_are_cut_before_the_shuffle(spark, tables):
 
     df = summary.drop_older(tables.orders, ["o_custkey"], "o_orderkey")
     assert "WindowGroupLimit" in plan(df)
+
+
+def test_a_hot_building_is_cut_into_pieces(spark, tables):
+    """A building with most entities: same features with and without pieces, and several pieces in use."""
+    from panelwright.functions import skew
+    from panelwright.operators import panel as p
+    from panelwright.operators import rollups
+
+    people = st.entities(tables).withColumn(
+        "internal_bin_static", F.when(F.col("address_id") % 3 > 0, "hot").otherwise(F.col("internal_bin_static"))
+    )
+    seen = st.violations(tables).withColumn(
+        "bin_clean", F.when(F.col("bin_clean").cast("int") % 2 == 0, "hot").otherwise(F.col("bin_clean"))
+    )
+    args = (people, "1995-01-01", "1996-01-01", st.visits(tables), st.opened_cases(tables))
+    whole = p.build_panel(*args, violations=rollups.monthly_violations(seen))
+    cut = p.build_panel(*args, violations=rollups.monthly_violations(seen), rows_per_piece=10)
+    assert whole.exceptAll(cut).count() == 0 and cut.exceptAll(whole).count() == 0
+    heavy = skew.heavy_keys(people, "internal_bin_static", 10)
+    assert [r.internal_bin_static for r in heavy.collect()] == ["hot"]
+    assert skew.with_piece(people, heavy, "internal_bin_static", "address_id").select(skew.PIECE).distinct().count() > 5
+
+
+def test_building_join_is_not_hashed_on_the_building_alone(spark, tables):
+    from panelwright.plans.panel_queries import full_panel
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(full_panel(tables))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = re.search(r"SortMergeJoin \[bin_clean#\d+, month_start#\d+, _key_piece#\d+\].*?Exchange hashpartitioning\(([^)]*)\)", text, re.S)
+    assert re.fullmatch(r"bin_clean#\d+, month_start#\d+, _key_piece#\d+, \d+", joined.group(1))
