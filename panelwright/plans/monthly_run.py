@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from panelwright.operators import columns, evaluate, impute, models, scale, splits
+from panelwright.sources import tables
 
 
 @dataclass
@@ -69,6 +70,13 @@ def run_split(
     return SplitResult(predictions, importance, evaluate.metric_rows(metrics, test_matrix=f"test_split_{split}"))
 
 
+def store_result(result: SplitResult, folder: str) -> None:
+    """Append the result rows to the results tables below a folder, dated ones partitioned by date."""
+    tables.append_rows(result.predictions, f"{folder}/predictions")
+    tables.append_rows(result.importances, f"{folder}/feature_importances")
+    tables.append_rows(result.evaluations, f"{folder}/evaluations")
+
+
 def run_models(panel: DataFrame, split_list: Sequence, model_list: Sequence[Mapping], features: Sequence[str], label: str,
                first_id: int = 1, **options):
     """Models x splits, one result at a time: every fit is a Spark job over the whole split."""

@@ -231,7 +231,7 @@ def test_kernel_classifier_separates_a_ring(spark):
     assert out.where("(score > 0.5) = (y = 1)").count() > 540
 
 
-def test_models_by_splits(spark, tables):
+def test_models_by_splits(spark, tables, tmp_path):
     from panelwright.plans import model_queries as mq
     from panelwright.plans.panel_queries import label_panel
     from panelwright.session import durable
@@ -244,3 +244,9 @@ def test_models_by_splits(spark, tables):
     assert first.where("score is null or rank_abs is null").count() == 0
     assert {r.top_k for r in done[1].evaluations.select("top_k").distinct().collect()} == {"100", "200"}
     assert done[0].importances.count() == len(mq.FEATURES)
+    for result in done:
+        monthly_run.store_result(result, str(tmp_path))
+    stored = store.read_table(spark, f"{tmp_path}/evaluations")
+    assert rows(stored.select("model_id").distinct()) == [("1",), ("2",)]
+    assert store.read_table(spark, f"{tmp_path}/predictions").where("model_id = 1").count() == first.count()
+    assert store.read_table(spark, f"{tmp_path}/feature_importances").count() == 2 * len(mq.FEATURES)
