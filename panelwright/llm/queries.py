@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm import packing, url_filter
+from panelwright.llm import packing, quality, url_filter
 from panelwright.plans.catalog import Tables
 from panelwright.session import tune
 
@@ -33,3 +33,9 @@ def url_filters(t: Tables) -> DataFrame:
     """A page's outcome is the quality label of the document of the same number."""
     judged = url_filter.judge_urls(t.pages, t.labels.select("doc_id", "quality"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_quality_rules", quality.SQL)
+def quality_rules(t: Tables) -> DataFrame:
+    judged = quality.judge_quality(t.documents)
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
