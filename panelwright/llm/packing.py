@@ -95,6 +95,12 @@ def places(plan: list[tuple[dict[int, int], int]]):
 
 # --- the tasks --------------------------------------------------------------------------------
 
+def _encoded(encode, texts):
+    """Packed ids of a batch's texts, some at a time."""
+    for at in range(0, len(texts), 256):
+        yield from encode(texts.slice(at, 256).to_pylist())
+
+
 def _cut(path: str, end_id: int, capacity: int, with_ids: bool, schema: pa.Schema):
     def run(batches):
         import numpy as np
@@ -106,8 +112,8 @@ def _cut(path: str, end_id: int, capacity: int, with_ids: bool, schema: pa.Schem
         for batch in batches:
             ids_of, texts = batch.column(0), batch.column(1)
             which, rows, packed = [], [], []
-            for i, text in enumerate(texts):
-                ids = encode(text.as_py()) + end
+            for i, ids in enumerate(_encoded(encode, texts)):
+                ids += end
                 start = 0
                 stop = len(ids) % width or width
                 piece = 0
