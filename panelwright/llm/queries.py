@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm import packing, quality, url_filter
+from panelwright.llm import decontaminate, packing, quality, url_filter
 from panelwright.plans.catalog import Tables
 from panelwright.session import tune
 
@@ -35,6 +35,11 @@ def url_filters(t: Tables) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op3_benchmark_decontamination", decontaminate.SQL)
+def benchmark_decontamination(t: Tables) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_benchmark(t.documents, t.benchmark))
+
+
 @query("op6_quality_rules", quality.SQL)
 def quality_rules(t: Tables) -> DataFrame:
     judged = quality.judge_quality(t.documents)
