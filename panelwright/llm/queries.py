@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, packing, quality, url_filter
+from panelwright.llm import decontaminate, packing, quality, simhash, url_filter
 from panelwright.plans.catalog import Tables
 from panelwright.session import tune
 
@@ -44,3 +44,9 @@ def benchmark_decontamination(t: Tables) -> DataFrame:
 def quality_rules(t: Tables) -> DataFrame:
     judged = quality.judge_quality(t.documents)
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+@query("op10_simhash_near_dedup")
+def simhash_near_dedup(t: Tables) -> DataFrame:
+    found = simhash.near_duplicates(t.documents)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
