@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, packing, quality, sharding, simhash, url_filter
+from panelwright.llm import decontaminate, packing, quality, sharding, simhash, toxicity, url_filter
 from panelwright.plans.catalog import Tables
 from panelwright.session import tune
 
@@ -46,6 +46,11 @@ def quality_rules(t: Tables) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+@query("op7_toxicity")
+def toxicity_scores(t: Tables) -> DataFrame:
+    return toxicity.score_toxicity(t.documents, t.labels.select("doc_id", "toxic"))
+
+
 @query("op8_sharding")
 def sharding_by_bytes(t: Tables) -> DataFrame:
     return sharding.shard(t.documents).withColumn("grown_shard", F.lit(None).cast("int"))
