@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, packing, quality, sharding, simhash, toxicity, url_filter
+from panelwright.llm import decontaminate, licenses, packing, quality, sharding, simhash, token_counts, toxicity, url_filter
 from panelwright.plans.catalog import Tables
-from panelwright.session import tune
+from panelwright.session import shared_dir, tune
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -40,6 +42,12 @@ def benchmark_decontamination(t: Tables) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(t.documents, t.benchmark))
 
 
+@query("op5_token_counts")
+def token_count_totals(t: Tables) -> DataFrame:
+    table = token_counts.CountTable(t.spark, f"{shared_dir(t.spark)}/token-totals-{uuid.uuid4().hex}")
+    return token_counts.maintain(t.documents, table)
+
+
 @query("op6_quality_rules", quality.SQL)
 def quality_rules(t: Tables) -> DataFrame:
     judged = quality.judge_quality(t.documents)
@@ -56,6 +64,11 @@ def sharding_by_bytes(t: Tables) -> DataFrame:
     return sharding.shard(t.documents).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query("op9_license_scans", licenses.SQL)
+def license_scans(t: Tables) -> DataFrame:
+    return licenses.scan_licenses(t.documents)
+
+
 @query("op10_simhash_near_dedup")
 def simhash_near_dedup(t: Tables) -> DataFrame:
     found = simhash.near_duplicates(t.documents)
