@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, licenses, packing, quality, sharding, simhash, token_counts, toxicity, url_filter
+from panelwright.llm import decontaminate, licenses, packing, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from panelwright.plans.catalog import Tables
 from panelwright.session import shared_dir, tune
 
@@ -42,6 +42,11 @@ def benchmark_decontamination(t: Tables) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(t.documents, t.benchmark))
 
 
+@query("op4_suffix_array_dedup")
+def suffix_array_dedup(t: Tables) -> DataFrame:
+    return suffix_dedup.find_repeats(t.documents)
+
+
 @query("op5_token_counts")
 def token_count_totals(t: Tables) -> DataFrame:
     table = token_counts.CountTable(t.spark, f"{shared_dir(t.spark)}/token-totals-{uuid.uuid4().hex}")
