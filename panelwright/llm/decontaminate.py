@@ -144,27 +144,10 @@ def _scan(key: str, block, size: int, schema: pa.Schema):
     return run
 
 
-def find_benchmark(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
-    carry: list[str] | None = None,
-) -> DataFrame:
-    """A row per document: id, carried columns, n_words, hits (word ranges), items found, spans (byte ranges of the hits in the original).
-
-    A null text has no words; items that are null, empty or without words, or whose id is null, match nothing; items with the same window are
-    all found. Repeated rows and null document ids are scanned like any other row. Columns other than those named are not looked at.
-    """
+def _scanned(df: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """df with `_text` replaced by n_words, hits, items and spans; its other columns are carried along and must not have these names."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = documents.sparkSession
-    carry = carry or []
-    df = documents.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)], text_or_empty(text_col).alias("_text"))
     ranges = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     made = [T.StructField("n_words", T.LongType()), T.StructField("hits", ranges), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", ranges)]
     kept = [f for f in df.schema if f.name != "_text"]
@@ -174,12 +157,31 @@ def find_benchmark(
         following = next(blocks, None)
         last = following is None
         schema = T.StructType([*kept, *([] if last else [df.schema["_text"]]), *made])
-        sent = spark.sparkContext.broadcast(block)
+        sent = df.sparkSession.sparkContext.broadcast(block)
         df = df.mapInArrow(_scan(uuid.uuid4().hex, sent, window, to_arrow_schema(schema)), schema)
         if not last:
             df = stored(df, "benchmark-hits")
         block = following
-    return df.select(F.col("_id").alias(id_col), *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)], *[f.name for f in made])
+    return df
+
+
+def find_benchmark(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """A row per document: id, n_words, hits (word ranges), items found, spans (byte ranges of the hits in the original).
+
+    A null text has no words; items that are null, empty or without words, or whose id is null, match nothing; items with the same window are
+    all found. Repeated rows and null document ids are scanned like any other row. Columns other than those named are not looked at.
+    """
+    df = documents.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    return _scanned(df, benchmark, item_col, item_text_col, window, block_bytes).withColumnRenamed("_id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -194,11 +196,20 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def drop_contaminated(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The documents without any hit, with all their columns, in one pass and without a shuffle."""
-    columns = documents.columns
-    found = find_benchmark(documents, benchmark, id_col=text_col, text_col=text_col, carry=columns, **options)
-    return found.where(F.size("hits") == 0).select(*[F.col(c) for c in columns])
+    names = documents.columns
+    df = documents.select(*[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(names)], text_or_empty(text_col).alias("_text"))
+    found = _scanned(df, benchmark, item_col, item_text_col, window, block_bytes)
+    return found.where(F.size("hits") == 0).select(*[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(names)])
 
 
 #: The same in DuckDB, by joining windows.
