@@ -1,21 +1,23 @@
-"""Categorical levels: frequent ones kept, the rest pooled, then 0/1 columns.
+"""Categorical levels: frequent ones kept, the rest pooled, then 0/1 columns or places in a sparse vector.
 
-Levels are fitted on training rows and become columns, so their number is checked before use.
+Columns are meant for the few levels that a threshold leaves. Where levels are many, number_levels and encode_sparse keep them as
+rows of a table and meet them in joins, whatever their number.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.sizing import bounded_rows, broadcast_if_small
+from panelwright.functions.sizing import broadcast_if_small
+from panelwright.operators.prefix import running_totals
 from panelwright.session import durable
 
 # Names of the level for missing values and of the pooled level.
 MISSING, OTHER = "missing", "OTHER"
-MAX_LEVELS = 10_000
 ENTITY = "address_id"
 
 
@@ -35,14 +37,50 @@ def fit_levels(train: DataFrame, features: Sequence[str], threshold: int, entity
     return level_counts(train, features, entity).where(F.col("entities") >= threshold)
 
 
-def levels_by_feature(levels: DataFrame, max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Fitted levels as lists; refuses more than max_levels, since each becomes a column."""
+def levels_by_feature(levels: DataFrame) -> dict[str, list[str]]:
+    """Fitted levels as lists, for encodings with a column per level."""
     out: dict[str, list[str]] = {}
-    for row in bounded_rows(levels.select("feature", "level"), max_levels, "levels"):
+    for row in levels.select("feature", "level").toLocalIterator():
         out.setdefault(row.feature, []).append(row.level)
     return {f: sorted(v) for f, v in out.items()}
 
 
+def dummy_names(kept: dict[str, Sequence[str]]) -> dict[tuple[str, str], str]:
+    """(feature, level) -> column name {feature}_{level}; dots and backticks, which a plain column name cannot hold, become underscores.
+
+    Names that would then meet get a number, in the order of features and levels.
+    """
+    names: dict[tuple[str, str], str] = {}
+    taken: set[str] = set()
+    for feature, levels in kept.items():
+        for level in levels:
+            base = name = re.sub("[.`]", "_", f"{feature}_{level}")
+            number = 2
+            while name.lower() in taken:
+                name, number = f"{base}_{number}", number + 1
+            taken.add(name.lower())
+            names[feature, level] = name
+    return names
+
+
+def number_levels(levels: DataFrame) -> DataFrame:
+    """(feature, level, place): a place from 0 for each level, by a distributed running count in the order of feature and level."""
+    rows = levels.select("feature", "level").distinct()
+    numbered = running_totals(rows, [], [F.col("feature"), F.col("level")], row_number="_number")
+    return numbered.select("feature", "level", (F.col("_number") - 1).cast("long").alias("place"))
+
+
+def encode_sparse(df: DataFrame, numbered: DataFrame, features: Sequence[str], key: str, out: str = "places") -> DataFrame:
+    """df with the sorted places of its rows' levels, an array as long as the features at most: a sparse vector of any width.
+
+    Levels without a place give none. ``key`` identifies a row of df; levels are met in one join, broadcast if small.
+    """
+    long = df.select(key, *[known_level(f).alias(f) for f in features]).unpivot([key], list(features), "feature", "level")
+    placed = long.join(broadcast_if_small(durable(numbered)), ["feature", "level"])
+    rows = placed.groupBy(key).agg(F.sort_array(F.collect_list("place")).alias(out))
+    return df.join(rows, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<bigint>")))
+
+
 def pooled(feature: str, kept: Sequence[str]) -> Column:
     """The level where it was kept, else OTHER; missing is a level like any other."""
     return F.when(known_level(feature).isin(list(kept)), known_level(feature)).otherwise(OTHER)
@@ -63,11 +101,8 @@ def recode_by_join(df: DataFrame, levels: DataFrame, feature: str) -> DataFrame:
 
 def level_dummies(df: DataFrame, kept: dict[str, list[str]], features: Sequence[str]) -> DataFrame:
     """0/1 columns {feature}_{level} for every kept level and OTHER, the same for train and test."""
-    made = []
-    for f in features:
-        levels = kept.get(f, [])
-        level = pooled(f, levels)
-        made += [(level == v).cast("int").alias(f"{f}_{v}") for v in dict.fromkeys([*levels, OTHER])]
+    wanted = {f: list(dict.fromkeys([*kept.get(f, []), OTHER])) for f in features}
+    made = [(pooled(f, kept.get(f, [])) == v).cast("int").alias(name) for (f, v), name in dummy_names(wanted).items()]
     return df.select("*", *made)
 
 
@@ -88,9 +123,8 @@ def one_hot(df: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     return df.select(
         "*",
         *[
-            F.coalesce((F.col(f).cast("string") == v).cast("int"), F.lit(0)).alias(f"{f}_{v}")
-            for f, values in common.items()
-            for v in values
+            F.coalesce((F.col(f).cast("string") == v).cast("int"), F.lit(0)).alias(name)
+            for (f, v), name in dummy_names(common).items()
         ],
     )
 

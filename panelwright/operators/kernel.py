@@ -23,7 +23,6 @@ from panelwright.operators import models
 from panelwright.operators.impute import SEED
 
 SIGMA = 0.1  # fixed value: the default width
-MAX_LANDMARKS = 1_000
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -34,9 +33,9 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy(group).agg(ordered.alias(vector))
 
 
-def landmark_rows(landmarks: DataFrame, key: str, vector: str, max_landmarks: int = MAX_LANDMARKS) -> tuple[list, np.ndarray]:
-    """Landmark keys and their matrix; refuses more than max_landmarks rows."""
-    rows = sorted(bounded_rows(landmarks.select(key, vector), max_landmarks, "landmarks"), key=lambda r: r[key])
+def landmark_rows(landmarks: DataFrame, key: str, vector: str, count: int) -> tuple[list, np.ndarray]:
+    """Landmark keys and their matrix; ``count`` is the number of landmarks the caller made, as the k of k-means, not one that data decide."""
+    rows = sorted(bounded_rows(landmarks.select(key, vector), count, "landmarks"), key=lambda r: r[key])
     return [r[key] for r in rows], np.array([r[vector] for r in rows], dtype=float)
 
 
@@ -56,9 +55,9 @@ def kernel_row(vector: str, points: np.ndarray, sigma: float = SIGMA) -> Column:
     return values(F.col(vector))
 
 
-def rbf_against(df: DataFrame, landmarks: DataFrame, key: str, landmark_key: str, vector: str, sigma: float = SIGMA) -> DataFrame:
-    """Long kernel rows (key, landmark_key, k): every row against every landmark."""
-    names, points = landmark_rows(landmarks, landmark_key, vector)
+def rbf_against(df: DataFrame, landmarks: DataFrame, key: str, landmark_key: str, vector: str, sigma: float = SIGMA, *, count: int) -> DataFrame:
+    """Long kernel rows (key, landmark_key, k): every row against each of ``count`` landmarks."""
+    names, points = landmark_rows(landmarks, landmark_key, vector, count)
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias(landmark_key), F.col("_k").alias("k"))
     rows = df.select(key, kernel_row(vector, points, sigma).alias("_k"))
     cells = rows.select(key, F.explode(pairs).alias("cell"))

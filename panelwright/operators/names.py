@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from panelwright.session import durable
 
-MAX_ROUNDS = 50
-
-
 def edit_keys(names: DataFrame, name: str = "name") -> DataFrame:
     """(group_key, name): the name and its forms with one character left out.
 
@@ -29,14 +26,15 @@ def edit_keys(names: DataFrame, name: str = "name") -> DataFrame:
     return plain.select(F.explode(F.array_distinct(F.array_append(cut, F.col("flat")))).alias("group_key"), "name")
 
 
-def connected_names(memberships: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_names(memberships: DataFrame) -> DataFrame:
     """(name, component) where component is the smallest name reachable through shared keys.
 
-    Smallest labels pass from names to keys and back until nothing changes; every round is stored.
+    Smallest labels pass from names to keys and back until nothing changes; every round is stored. Labels of labels are
+    followed, so the number of rounds grows with the logarithm of the longest chain, and there is no limit on it.
     """
     edges = durable(memberships.select("group_key", "name").distinct())
     labels = durable(edges.select("name").distinct().withColumn("component", F.col("name")))
-    for _ in range(max_rounds):
+    while True:
         # Stored per key, so that the join below may split a key that very many names share.
         per_key = durable(edges.join(labels, "name").groupBy("group_key").agg(F.min("component").alias("component")))
         moved = edges.join(per_key, "group_key").groupBy("name").agg(F.min("component").alias("reached"))
@@ -50,15 +48,14 @@ def connected_names(memberships: DataFrame, max_rounds: int = MAX_ROUNDS) -> Dat
         labels = merged.select("name", "component")
         if merged.where(F.col("before") != F.col("component")).limit(1).count() == 0:
             return labels
-    raise RuntimeError(f"names still moving after {max_rounds} rounds; raise max_rounds")
 
 
-def canonical_names(memberships: DataFrame, counts: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def canonical_names(memberships: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, canonical): the most frequent name of each component, the smallest on ties.
 
     ``counts`` has one row (name, n) per name.
     """
-    components = connected_names(memberships, max_rounds)
+    components = connected_names(memberships)
     counted = components.join(counts, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = F.min(F.struct((-F.col("n")).alias("rank"), F.col("name").alias("canonical")))
     heads = durable(counted.groupBy("component").agg(first.alias("first")).select("component", "first.canonical"))

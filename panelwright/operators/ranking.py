@@ -7,6 +7,7 @@ they are the same on any partitioning.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +31,12 @@ def with_ranks(
 ) -> DataFrame:
     """Average rank on ties (cut to an integer) and that rank over the group size.
 
-    Ties are counted first: ranks come from running counts over distinct scores, so a score shared
+    A null score comes last, a null group is a group. Ties are counted first: ranks come from running counts over distinct scores, so a score shared
     by a third of all rows is one row in the ranking and is joined back.
     """
     ties = df.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_ties"))
     placed = running_totals(
-        ties, group, [F.col(score).desc()], {"_upto": F.col("_ties")}, {"_rows": F.col("_ties")}, bounded=bounded
+        ties, group, [F.col(score).desc_nulls_last()], {"_upto": F.col("_ties")}, {"_rows": F.col("_ties")}, bounded=bounded
     )
     ranked = placed.select(
         *group,
@@ -43,8 +44,12 @@ def with_ranks(
         F.floor(F.col("_upto") - (F.col("_ties") - 1) / 2).cast("int").alias(rank),
         F.col("_rows"),
     )
-    joined = df.join(ranked, [*group, score], "left")
-    return joined.select(*df.columns, rank, (F.col(rank) / F.col("_rows")).alias(share))
+    # Null groups and null scores are ranked too (nulls last), so the join treats nulls as equal.
+    keys = [*group, score]
+    side = ranked.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(keys)})
+    same = [df[c].eqNullSafe(side[f"_of_{i}"]) for i, c in enumerate(keys)]
+    joined = df.join(side, reduce(lambda a, b: a & b, same), "left")
+    return joined.select(*[df[c] for c in df.columns], rank, (F.col(rank) / F.col("_rows")).alias(share))
 
 
 def label_fills(label: str) -> dict[str, Column]:

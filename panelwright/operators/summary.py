@@ -41,19 +41,22 @@ def evaluation_view(evaluations: DataFrame, models: DataFrame, groups: DataFrame
 def pick_evaluations(
     view: DataFrame,
     ids: Sequence[int] | None = None,
-    low: int = 0,
-    high: int = 900_000_000,
+    low: int | None = None,
+    high: int | None = None,
     label: str = DEFAULT_LABEL,
     boroughs: str = DEFAULT_BOROUGHS,
 ) -> DataFrame:
-    """Evaluations of listed model ids, or of an id range, for one label and borough set."""
-    mine = F.col("model_id").isin(list(ids)) if ids is not None else F.col("model_id").between(low, high)
+    """Evaluations of listed model ids, or of an id range that is open where no bound is given, for one label and borough set."""
+    mine = F.col("model_id").isin(list(ids)) if ids is not None else F.lit(True)
+    for bound, holds in ((low, F.col("model_id") >= low), (high, F.col("model_id") <= high)) if ids is None else ():
+        mine = mine & holds if bound is not None else mine
     return view.where(mine & (F.col("label") == label) & (F.col("borough_fit_on") == boroughs))
 
 
 def drop_older(data: DataFrame, keys: Sequence[str], newest: str = "model_id") -> DataFrame:
-    """One row per key set, from the newest model."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(newest))
+    """One row per key set, from the newest model; of several rows of that model the first by the remaining columns."""
+    rest = [c for c in data.columns if c not in (*keys, newest)]
+    w = Window.partitionBy(*keys).orderBy(F.desc(newest), *rest)
     # The = 1 filter lets Spark cut each group before the shuffle.
     return data.withColumn("_place", F.row_number().over(w)).where(F.col("_place") == 1).drop("_place")
 

@@ -58,7 +58,7 @@ def logistic_metrics(t):
 @query(
     "rbf_pairs",
     """
-with cells as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings),
+with cells as (select label % 16 as label, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings),
 means as (select label, pos, avg(cast(x as double)) as m from cells group by 1, 2),
 rows as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings)
 select vec_id, label as landmark, round(exp(-sum((cast(x as double) - m) ** 2) / (2 * 0.5 ** 2)), 6) as k
@@ -66,10 +66,11 @@ from rows join means using (pos) group by 1, 2
 """,
 )
 def rbf_pairs(t):
-    """Exact kernel values of every vector against the mean vector of every label."""
+    """Exact kernel values of every vector against 16 landmarks at most: mean vectors of the labels, folded to 16 groups."""
     rows = t.embeddings
-    marks = kernel.centroids(rows, "label", "embedding").withColumnRenamed("label", "landmark")
-    cells = kernel.rbf_against(rows, marks, "vec_id", "landmark", "embedding", sigma=0.5)
+    folded = rows.withColumn("landmark", F.col("label") % 16)
+    marks = kernel.centroids(folded, "landmark", "embedding")
+    cells = kernel.rbf_against(rows, marks, "vec_id", "landmark", "embedding", sigma=0.5, count=16)
     return cells.withColumn("k", F.round("k", 6))
 
 
@@ -97,13 +98,13 @@ def decision_tree_scores(t):
 # --- paged sources --------------------------------------------------------------------------------
 
 
-@query("paged_ingest", "select event_id, user_id, event_type, value, props from events")
+@query("paged_ingest", "select event_id, user_id, ts, event_type, value, props from events")
 def paged_ingest(t):
-    """Events written as JSON pages of 10,000 rows and read back with a stated schema."""
+    """All columns of events written as JSON pages of 10,000 rows and read back with a stated schema."""
     folder = f"{shared_dir(t.spark)}/event_pages_{uuid4().hex}"
-    rows = t.events.select("event_id", "user_id", "event_type", "value", "props")
-    paged.write_pages(rows, "event_id", folder)
-    return paged.read_pages(t.spark, folder, "event_id long, user_id long, event_type string, value double, props string")
+    rows = t.events.select("event_id", "user_id", "ts", "event_type", "value", "props")
+    paged.write_pages(rows, folder)
+    return paged.read_pages(t.spark, folder, rows.schema)
 
 
 @query(

@@ -92,6 +92,29 @@ def evaluation_pick(t):
     return picked.select("model_id", "metric", "top_k", "value")
 
 
+_FEW = [10001, 11005, 20013, 530001]
+
+
+@query(
+    "evaluation_pick_list",
+    f"""
+with {EVALUATIONS}
+select 'listed' as pick, model_id, metric, top_k, value from evals
+where model_id in ({", ".join(map(str, _FEW))}) and label = '{summary.DEFAULT_LABEL}' and borough_fit_on = '{summary.DEFAULT_BOROUGHS}'
+union all
+select 'every' as pick, model_id * 10000 as model_id, metric, top_k, value from evals
+where label = '{summary.DEFAULT_LABEL}' and borough_fit_on = '{summary.DEFAULT_BOROUGHS}'
+""",
+)
+def evaluation_pick_list(t):
+    """By a list of ids, and without bounds: ids beyond 900,000,000 stay."""
+    every = evaluations(t)
+    large = every.withColumn("model_id", F.col("model_id") * 10000)
+    columns = ["model_id", "metric", "top_k", "value"]
+    listed = summary.pick_evaluations(every, ids=_FEW).select(F.lit("listed").alias("pick"), *columns)
+    return listed.unionByName(summary.pick_evaluations(large).select(F.lit("every").alias("pick"), *columns))
+
+
 _OLDER = list(summary.OLDER_METRICS)
 _MIN_LENGTH = 15
 _CLEAN_OLDER = f"""

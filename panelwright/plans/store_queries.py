@@ -24,14 +24,40 @@ def _folder(t, name: str) -> str:
     "typed_table",
     """
 select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey,
-       nullif(o_orderstatus, 'P') as o_orderstatus from orders
+       nullif(o_orderstatus, 'P') as o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_ordertime from orders
 """,
 )
 def typed_table(t):
     """A bulk write with every column as text, empty text as null."""
     name = _folder(t, "typed")
     status = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus"))
-    store.write_typed(t.orders.select("o_orderkey", "o_custkey", status.alias("o_orderstatus")), name)
+    day, time = F.to_date("o_orderdate").alias("o_orderdate"), F.col("o_orderdate").alias("o_ordertime")
+    store.write_typed(t.orders.select("o_orderkey", "o_custkey", status.alias("o_orderstatus"), day, "o_orderpriority", time), name)
+    return store.read_table(t.spark, name)
+
+
+@query(
+    "typed_columns",
+    """
+select o_orderkey * 3000000000 as o_orderkey, cast(o_totalprice / 1000000000000 as double) as o_totalprice,
+       cast(o_orderdate as date) as day, o_orderdate, nullif(o_orderstatus, 'P') as o_orderstatus, cast(o_custkey % 100 as integer) as small
+from orders
+""",
+)
+def typed_columns(t):
+    """A bulk write by column types: long numbers, small doubles, dates and times come back as they went in."""
+    name = _folder(t, "columns")
+    status = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus"))
+    rows = t.orders.select(
+        (F.col("o_orderkey") * F.lit(3_000_000_000)).alias("o_orderkey"),
+        (F.col("o_totalprice") / F.lit(1e12)).alias("o_totalprice"),
+        F.to_date("o_orderdate").alias("day"),
+        "o_orderdate",
+        status.alias("o_orderstatus"),
+        (F.col("o_custkey") % 100).cast("smallint").alias("small"),
+    )
+    store.write_typed(rows, name, default_to_text=False)
     return store.read_table(t.spark, name)
 
 
@@ -39,16 +65,16 @@ def typed_table(t):
     "append_results",
     """
 select cast(date_trunc('month', o_orderdate) as date) as as_of_date, o_orderstatus as model, count(*) as rows
-from orders where o_orderstatus in ('F', 'O') group by 1, 2
+from orders group by 1, 2
 """,
 )
 def append_results(t):
-    """Result rows of two models appended one after the other, partitioned by date."""
+    """Result rows of three models appended one after the other, partitioned by date."""
     name = _folder(t, "results")
     rows = t.orders.select(
         F.trunc("o_orderdate", "month").alias("as_of_date"), F.col("o_orderstatus").alias("model"), "o_orderkey"
     )
-    for model in ("F", "O"):
+    for model in ("F", "O", "P"):
         store.append_rows(rows.where(F.col("model") == model), name)
     return store.read_table(t.spark, name).groupBy("as_of_date", "model").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -62,11 +88,11 @@ def build_if_absent(t):
     return store.build_table(t.spark, name, lambda: counts.where(F.lit(False)))
 
 
-@query("csv_restore", "select c_custkey, c_name, c_acctbal from customer")
+@query("csv_restore", "select * from orders")
 def csv_restore(t):
-    """A CSV backup read back with a stated schema."""
+    """A CSV backup of a whole table, with its times, read back with a stated schema."""
     name = _folder(t, "backup")
-    rows = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    rows = t.orders
     store.backup(rows, name, "csv")
     return store.restore_csv(t.spark, name, rows.schema)
 
@@ -118,8 +144,9 @@ def versioned_update(t):
 @query("query_scan", "select o_custkey, count(*) as n from orders where o_orderstatus = 'F' group by 1")
 def query_scan(t):
     """A SQL text with a named parameter."""
-    text = "select o_custkey, count(*) as n from {orders} where o_orderstatus = :status group by o_custkey"
-    return t.spark.sql(text, args={"status": "F"}, orders=t.orders)
+    t.orders.createOrReplaceTempView("orders_to_scan")
+    text = "select o_custkey, count(*) as n from orders_to_scan where o_orderstatus = :status group by o_custkey"
+    return store.read_query(t.spark, text, status="F")
 
 
 @query("row_by_id", "select c_custkey, c_name from customer where c_custkey = 7")

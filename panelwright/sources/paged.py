@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import DateType, DecimalType, TimestampNTZType, TimestampType
 
 from panelwright.functions.scalars import resource_id
 
@@ -18,6 +21,8 @@ METADATA_SCHEMA = (
     "metadata struct<custom_fields: struct<`Update`: struct<`Update Frequency`: string>>>, "
     "columns array<struct<cachedContents: struct<cardinality: string>>>"
 )
+#: Times with all six digits; the JSON writer's default has three.
+EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CATALOG_SCHEMA = "dataname string, apilink string, include string, unique_id int, size_approx bigint"
 
 
@@ -60,23 +65,22 @@ def dataset_id(catalog: DataFrame, dataname: str) -> DataFrame:
     return catalog.where(F.col("dataname") == dataname).select("json_id").limit(1)
 
 
-def write_pages(rows: DataFrame, position: str, folder: str, page: int = PAGE_ROWS) -> None:
-    """Write rows as JSON pages; ``position`` is a 0-based row number."""
-    offset = (F.floor(F.col(position) / page) * page).cast("long")
-    paged = rows.withColumn("offset", offset)
-    paged.repartition("offset").write.mode("overwrite").partitionBy("offset").json(folder)
+def write_pages(rows: DataFrame, folder: str, page: int = PAGE_ROWS) -> None:
+    """Write rows as JSON page files of at most ``page`` rows each, many per task: no shuffle, and no folder per page."""
+    rows.write.mode("overwrite").options(maxRecordsPerFile=page, ignoreNullFields=False, **EXACT_TIMES).json(folder)
 
 
 def read_pages(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """All pages of a folder with a stated schema: no inference pass, one scan over all files."""
-    return spark.read.schema(schema).json(folder).drop("offset")
+    """All pages of a folder with a stated schema: no inference pass, one scan over all files. An absent folder is an error."""
+    return spark.read.schema(schema).options(**EXACT_TIMES).json(folder)
 
 
 class PagedJson(DataSource):
-    """``spark.read.format("paged_json")``: one task per page file page_<offset>.json (rows as JSON lines).
+    """``spark.read.format("paged_json")``: page files page_<offset>.json (rows as JSON lines), several per task.
 
-    Options: path (a folder every executor can reach), limit (row bound), page (rows per page).
-    Pages that do not exist are empty. For pages that already lie in a Spark-readable layout,
+    Options: path (a folder mounted on the driver and every executor), pages_per_task. All pages that the folder holds are read, whatever
+    bound they were fetched under; a folder or page that cannot be opened is an error. Rows come as Arrow batches in the types of
+    the schema; a time without a zone is UTC. Executors need this package on their Python path. For pages in a layout that Spark reads,
     read_pages stays inside the JVM and is faster.
     """
 
@@ -88,26 +92,44 @@ class PagedJson(DataSource):
         return _PageReader(self.options, schema)
 
 
-class _Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+PAGE_FILE = re.compile(r"page_(\d+)\.json")
+TEXT_FIRST = (TimestampNTZType, DateType, DecimalType)
+
+
+class _Pages(InputPartition):
+    def __init__(self, files: list[str]):
+        self.files = files
 
 
 class _PageReader(DataSourceReader):
     def __init__(self, options, schema):
         self.folder = options["path"]
-        self.limit = int(options["limit"])
-        self.page = int(options.get("page", PAGE_ROWS))
-        self.names = [f.name for f in schema.fields]
+        self.per_task = int(options.get("pages_per_task", 16))
+        self.schema = schema
 
     def partitions(self):
-        return [_Page(o) for o in range(0, self.limit, self.page)]
+        found = sorted((int(m[1]), m[0]) for m in map(PAGE_FILE.fullmatch, os.listdir(self.folder)) if m)
+        files = [name for _, name in found]
+        return [_Pages(files[i : i + self.per_task]) for i in range(0, len(files), self.per_task)] or [_Pages([])]
 
     def read(self, partition):
-        path = os.path.join(self.folder, f"page_{partition.offset}.json")
-        if not os.path.exists(path):
-            return
-        with open(path) as lines:
-            for line in lines:
-                row = json.loads(line)
-                yield tuple(row.get(n) for n in self.names)
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(self.schema)
+        for name in partition.files:
+            with open(os.path.join(self.folder, name)) as lines:
+                rows = [json.loads(line) for line in lines if line.strip()]
+            columns = []
+            for field, kind in zip(self.schema.fields, types):
+                values = [row.get(field.name) for row in rows]
+                if isinstance(field.dataType, TimestampType):
+                    times = [None if v is None else datetime.fromisoformat(v) for v in values]
+                    columns.append(pa.array([t if t is None or t.tzinfo else t.replace(tzinfo=timezone.utc) for t in times], kind.type))
+                elif isinstance(field.dataType, TEXT_FIRST):
+                    # JSON has no dates and exact numbers: they arrive as text and are parsed into the stated type.
+                    texts = [None if v is None else str(v) for v in values]
+                    columns.append(pa.array(texts, pa.string()).cast(kind.type))
+                else:
+                    columns.append(pa.array(values, kind.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=types)

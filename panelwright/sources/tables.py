@@ -15,20 +15,8 @@ LABEL_KEYS = {
     ("internal_cases_opened_per_unit_next_month_binary", 0.9): "casethresholdhigher",
     ("internal_cases_opened_per_unit_next_month_binary", 0.75): "casethresholdlower",
 }
-# Column type map of the bulk writer: source type to stored type.
-STORED_TYPES = {
-    "string": "string",
-    "bigint": "int",
-    "int": "int",
-    "smallint": "int",
-    "tinyint": "int",
-    "double": "decimal(38,10)",
-    "float": "decimal(38,10)",
-    "timestamp": "timestamp",
-    "timestamp_ntz": "timestamp_ntz",
-    "date": "date",
-    "boolean": "boolean",
-}
+# Column type map of the bulk writer where the stored type differs: small whole numbers widen, nothing is narrowed.
+STORED_TYPES = {"smallint": "int", "tinyint": "int", "float": "double"}
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -137,15 +125,26 @@ def restore_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_version(df: DataFrame, folder: str, version: int) -> None:
-    """Write a whole new version; readers move to it once it is complete."""
-    df.write.mode("errorifexists").parquet(f"{folder}/version={version}")
+    """Write a whole new version; readers move to it once its success marker, which is written last, is there."""
+    df.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{folder}/version={version}")
+
+
+def complete_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions with a success marker, in order: a listing of folder names, no file is read."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    top = fs_path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory()]
+    found = [n for n in names if n.startswith("version=") and fs.exists(fs_path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("version=")) for n in found)
 
 
 def read_latest(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    """The newest version and its number; the folder name is a partition, so older files are not read."""
-    versions = spark.read.parquet(folder)
-    latest = versions.select("version").distinct().agg(F.max("version").alias("v")).first()["v"]
-    return versions.where(F.col("version") == latest).drop("version"), latest
+    """The newest complete version and its number; a version that is still being written, or was left half written, is not seen."""
+    versions = complete_versions(spark, folder)
+    if not versions:
+        raise FileNotFoundError(f"no complete version below {folder}")
+    return spark.read.parquet(f"{folder}/version={versions[-1]}"), versions[-1]
 
 
 def label_key(label: str, threshold: float | None = None) -> str:

@@ -185,8 +185,24 @@ def test_level_recode(spark):
     assert column(joined, "f", "address_id") == ["a", "a", "OTHER", "missing", "missing"]
     wide = encode.level_dummies(df, kept, ["f"]).orderBy("address_id").collect()
     assert [r.f_OTHER for r in wide] == [0, 0, 1, 0, 0]
-    with pytest.raises(ValueError):
-        encode.levels_by_feature(encode.fit_levels(df, ["f"], 1), max_levels=1)
+
+
+def test_any_number_of_levels(spark):
+    df = spark.range(10_050).select(F.col("id").alias("address_id"), F.concat(F.lit("St. "), "id").alias("f"), F.lit("x").alias("g"))
+    numbered = encode.number_levels(encode.fit_levels(df, ["f", "g"], 1))
+    assert numbered.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first()[:] == (0, 10_050, 10_051)
+    assert len(encode.levels_by_feature(encode.fit_levels(df, ["f"], 1))["f"]) == 10_050
+    sparse = encode.encode_sparse(df, numbered, ["f", "g"], "address_id")
+    assert sparse.where("size(places) = 2 and places[1] = 10050").count() == 10_050
+    assert encode.encode_sparse(df, numbered.where("feature = 'g'"), ["f"], "address_id").where("size(places) = 0").count() == 10_050
+
+
+def test_levels_with_dots(spark):
+    df = spark.createDataFrame([(1, "St. Mary"), (2, "St_ Mary"), (3, None)], "address_id int, f string")
+    kept = encode.levels_by_feature(encode.fit_levels(df, ["f"], 1))
+    wide = encode.level_dummies(df, kept, ["f"]).orderBy("address_id")
+    assert wide.columns[2:] == ["f_St_ Mary", "f_St_ Mary_2", "f_missing", "f_OTHER"]
+    assert [tuple(r)[2:] for r in wide.select(*wide.columns).collect()] == [(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0)]
 
 
 def test_one_hot_null_is_all_zeros(spark):
@@ -258,3 +274,11 @@ def test_capacity_list_rounds_half_to_even(spark):
     none = df.withColumn("label", F.lit(None).cast("int"))
     assert evaluate.capacity_list(none, "label", "units").count() == 0
     assert evaluate.months_without_labels(none, "label").count() == 3
+
+
+def test_null_groups_and_scores_are_ranked(spark):
+    df = spark.createDataFrame([(1, None, 0.5), (1, None, 0.9), (1, "m", None), (1, "m", 0.2)], "model_id int, as_of_date string, score double")
+    for bounded in (True, False):
+        out = ranking.with_ranks(df, bounded=bounded)
+        assert sorted((str(r.as_of_date), str(r.score), r.rank_abs, r.rank_pct) for r in out.collect()) == [
+            ("None", "0.5", 2, 1.0), ("None", "0.9", 1, 0.5), ("m", "0.2", 1, 0.5), ("m", "None", 2, 1.0)]

@@ -1,7 +1,8 @@
 """Sources, sinks, registry, names, columns, kernels and models on small inputs."""
 
 import json
-from datetime import date
+import os
+from datetime import date, datetime
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ def test_typed_write_and_restore(spark, tmp_path):
     assert {t for _, t in back.dtypes} == {"string"}
     assert rows(back) == [("None", "1", "2.5"), ("x", "None", "3.0")]
     store.write_typed(df, f"{tmp_path}/u", {"a": "string"}, default_to_text=False)
-    assert dict(store.read_table(spark, f"{tmp_path}/u").dtypes) == {"a": "string", "b": "int", "c": "decimal(38,10)"}
+    assert dict(store.read_table(spark, f"{tmp_path}/u").dtypes) == {"a": "string", "b": "bigint", "c": "double"}
     store.backup(df, f"{tmp_path}/csv")
     assert store.restore_csv(spark, f"{tmp_path}/csv", df.schema).count() == 2
     with pytest.raises(ValueError):
@@ -62,6 +63,14 @@ def test_versions_and_row_update(spark, tmp_path):
     store.write_version(registry.updated_rows(current, change, "id"), folder, version + 1)
     latest, version = store.read_latest(spark, folder)
     assert version == 2 and rows(latest) == [("1", "a"), ("2", "new")]
+    # Half written: part files without the marker are not seen.
+    store.write_version(spark.createDataFrame([(7, "half")], "id int, name string"), folder, 3)
+    os.remove(f"{folder}/version=3/_SUCCESS")
+    latest, version = store.read_latest(spark, folder)
+    assert version == 2 and rows(latest) == [("1", "a"), ("2", "new")]
+    with pytest.raises(FileNotFoundError):
+        os.makedirs(f"{tmp_path}/empty")
+        store.read_latest(spark, f"{tmp_path}/empty")
 
 
 def test_query_parameters_and_label_keys(spark):
@@ -77,10 +86,16 @@ def test_paged_source(spark, tmp_path):
         with open(f"{tmp_path}/page_{offset}.json", "w") as page:
             page.writelines(json.dumps({"id": offset + i, "name": f"n{i}"}) + "\n" for i in range(2))
     spark.dataSource.register(paged.PagedJson)
-    reader = spark.read.format("paged_json").schema("id int, name string")
-    df = reader.option("path", str(tmp_path)).option("limit", 6).option("page", 2).load()
-    assert rows(df) == [("0", "n0"), ("1", "n1"), ("2", "n0"), ("3", "n1")]
-    assert df.rdd.getNumPartitions() == 3
+    with open(f"{tmp_path}/page_9000000.json", "w") as page:
+        page.write(json.dumps({"id": 9, "name": None, "at": "2024-01-01T00:09:58.778549", "day": "2024-02-29"}) + "\n")
+    reader = spark.read.format("paged_json").schema("id int, name string, at timestamp, day date")
+    df = reader.option("path", str(tmp_path)).option("pages_per_task", 2).load()
+    assert rows(df.select("id", "name")) == [("0", "n0"), ("1", "n1"), ("2", "n0"), ("3", "n1"), ("9", "None")]
+    last = df.where("id = 9").first()
+    assert (last.at, last.day) == (datetime(2024, 1, 1, 0, 9, 58, 778549), date(2024, 2, 29))
+    assert df.rdd.getNumPartitions() == 2
+    with pytest.raises(Exception, match="No such file"):
+        reader.option("path", f"{tmp_path}/absent").load().count()
     assert [r.offset for r in paged.page_offsets(spark, 25_000).collect()] == [0, 10_000, 20_000]
 
 
@@ -216,12 +231,12 @@ def test_kernel_rows_against_numpy(spark):
     x = np.random.default_rng(1).random((40, 3))
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, v array<double>")
     marks = df.where("id < 4").withColumnRenamed("id", "mark")
-    got = kernel.rbf_against(df, marks, "id", "mark", "v", sigma=0.4).collect()
+    got = kernel.rbf_against(df, marks, "id", "mark", "v", sigma=0.4, count=4).collect()
     assert len(got) == 160
     for r in got:
         assert r.k == pytest.approx(np.exp(-((x[r.id] - x[r.mark]) ** 2).sum() / (2 * 0.4**2)))
     with pytest.raises(ValueError):
-        kernel.landmark_rows(df, "id", "v", max_landmarks=10)
+        kernel.landmark_rows(df, "id", "v", 10)
 
 
 def test_kernel_classifier_separates_a_ring(spark):
@@ -231,6 +246,33 @@ def test_kernel_classifier_separates_a_ring(spark):
     assert out.where("(score > 0.5) = (y = 1)").count() > 540
 
 
+def test_run_with_unseen_group_and_every_k(spark):
+    """A test row of a group that train does not hold is scored and flagged; a feature that is kept as well is prepared and kept raw."""
+    kind = "address_id long, month_start date, internal_borough_factor_static string, internal_units_static int, x double, y int, internal_peu_target_zip int"
+    months = [date(2000, m, 1) for m in (1, 2, 3)]
+    data = [(i, m, "new" if i == 0 and m == months[2] else "ab"[i % 2], 10 + i, None if i % 5 == 0 else float(i), int(i > 9), 1) for i in range(20) for m in months]
+    parts = monthly_run.prepared_split(spark.createDataFrame(data, kind), "2000-03-01", ["internal_units_static", "x"], "y")
+    done = monthly_run.fit_prepared(parts, "2000-03-01", ["internal_units_static", "x"], "y", 1, "DecisionTreeClassifier", {}, [30, 60])
+    assert parts[1].where("group_unseen = 1").count() == 1
+    assert parts[1].agg(F.min("internal_units_static"), F.max("internal_units_static"), F.max("_kept_internal_units_static")).first()[:] == (0.0, 1.0, 29)
+    assert rows(done.predictions.groupBy("top_k").count()) == [("30", "20"), ("60", "20")]
+    assert done.predictions.where("score is null or rank_abs is null").count() == 0
+
+
+def test_ids_without_bounds(spark):
+    view = spark.createDataFrame([(5, summary.DEFAULT_LABEL, summary.DEFAULT_BOROUGHS), (950_000_000, summary.DEFAULT_LABEL, summary.DEFAULT_BOROUGHS)],
+                                 "model_id bigint, label string, borough_fit_on string")
+    assert summary.pick_evaluations(view).count() == 2
+    assert summary.pick_evaluations(view, low=6).count() == 1
+    assert summary.pick_evaluations(view, ids=[5]).first().model_id == 5
+
+
+def test_repeated_append_is_decided(spark):
+    df = spark.createDataFrame([("k", 2, 0.5), ("k", 2, 0.25), ("k", 1, 0.1)], "key string, model_id int, value double")
+    for n in (1, 3):
+        assert rows(summary.drop_older(df.repartition(n), ["key"])) == [("k", "2", "0.25")]
+
+
 def test_models_by_splits(spark, tables, tmp_path):
     from panelwright.plans import model_queries as mq
     from panelwright.plans.panel_queries import label_panel
@@ -242,6 +284,7 @@ def test_models_by_splits(spark, tables, tmp_path):
     assert len(done) == 2
     first = done[0].predictions
     assert first.where("score is null or rank_abs is null").count() == 0
+    assert {r.top_k for r in first.select("top_k").distinct().collect()} == {100, 200}
     assert {r.top_k for r in done[1].evaluations.select("top_k").distinct().collect()} == {"100", "200"}
     assert done[0].importances.count() == len(mq.FEATURES)
     for result in done:
