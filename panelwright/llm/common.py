@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 
 from panelwright.session import shared_dir
 
+#: Shuffle files are dropped when a write that made them ends: what it wrote is read from then on.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the folder that spark.checkpoint.dir names, and read it back.
 
     Cuts the lineage as checkpoint() does, compressed and with column pruning: a lost executor repeats nothing.
     """
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(column):

@@ -17,7 +17,6 @@ more than HOT_CONTEXTS contexts sends windows apart, each under its own key, so
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import pyarrow as pa
@@ -97,39 +96,24 @@ def anchors(data, sizes):
         return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     with np.errstate(over="ignore"):
         grams, wholes = _blocks(data)
-    least = _sliding(np.minimum, grams, SPAN)
+    # Half of the hash and the place from the right in one number: the smallest is the window's choice.
+    high, places = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+    choice = _sliding(np.minimum, (grams & high) | (places - np.arange(len(grams), dtype=np.uint64)), SPAN)
     text = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.flatnonzero(text[: len(least)] == text[LENGTH - 1 :])
+    start = np.flatnonzero(text[: len(choice)] == text[LENGTH - 1 :])
     if not len(start):
         return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    want = least[start]
-    at = _rightmost(grams, want, start)
+    at = (places - (choice[start] & places)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
     first, last = start[new], start[np.r_[new[1:] - 1, len(start) - 1]]
     where, anchor = at[new], grams[at[new]]
     with np.errstate(over="ignore"):
         context = mix(wholes[first] * np.uint64(0xE7037ED1A0B428DB) + mix(wholes[last] + ((last - first) * 64 + (where - first)).astype(np.uint64)))
-    return text[first], where, first, last, anchor, context
+    return text[first], where, first, last, anchor & np.uint64((1 << 63) - 1), context & np.uint64(LOW48)
 
 
-def _rightmost(grams, want, start):
-    """The last position of `want` among the grams of each window."""
-    np = _numpy()
-    n = len(grams)
-    found = np.full(len(start), -1, dtype=np.int64)
-    todo = np.arange(len(start))
-    for back in range(SPAN - 1, -1, -1):
-        p = start[todo] + back
-        hit = grams[np.minimum(p, n - 1)] == want[todo]
-        found[todo[hit]] = p[hit]
-        todo = todo[~hit]
-        if not len(todo):
-            break
-    return found
-
-
-def _slices(ids, tags, texts):
-    """(ids, tags, bytes, sizes) of some texts at a time."""
+def _slices(texts):
+    """(numbers of the texts, their bytes end to end, their sizes) of some texts at a time."""
     np = _numpy()
     chosen, raw, size = [], [], 0
     for i, text in enumerate(texts):
@@ -138,15 +122,18 @@ def _slices(ids, tags, texts):
         raw.append(b)
         size += len(b)
         if size >= SLICE_BYTES or i == len(texts) - 1:
-            at = np.array(chosen)
-            yield ids[at], tags[at], np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(b) for b in raw], dtype=np.int64)
+            yield np.array(chosen), b"".join(raw), np.array([len(b) for b in raw], dtype=np.int64)
             chosen, raw, size = [], [], 0
 
 
 def _key(anchor, context):
+    """One number for a context, from 48 bits of its anchor and of itself."""
     np = _numpy()
     with np.errstate(over="ignore"):
-        return mix(anchor * np.uint64(0x8BB84B93962EACC9) + context)
+        return mix((anchor & np.uint64(LOW48)) * np.uint64(0x8BB84B93962EACC9) + context)
+
+
+LOW48 = (1 << 48) - 1
 
 
 # --- 1: entries -------------------------------------------------------------------------------
@@ -173,51 +160,50 @@ def _unpack48(raw: bytes):
     return out.reshape(-1).view("<u8")
 
 
-LOW48 = (1 << 48) - 1
-
-
 def _entries(parts: int):
     """Packed (anchor, context, document) entries by part, one per context and batch, of its smallest document; part -1 holds what the batch
     itself shows: contexts of documents that are not its smallest."""
 
-    def flush(held):
+    def flush(held, seen):
         np = _numpy()
-        ids, tags, anchor, context = (np.concatenate(x) for x in zip(*held))
+        doc, anchor, context = (np.concatenate(x) for x in zip(*held))
+        all_ids, all_tags = (np.concatenate(x) for x in zip(*seen))
+        ids = all_ids[doc]
         order = np.lexsort((ids, context, anchor))
-        ids, tags, anchor, context = ids[order], tags[order], anchor[order], context[order]
+        doc, ids, anchor, context = doc[order], ids[order], anchor[order], context[order]
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])]
         least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         over = ids > least
-        rows = _by_document(ids[over], tags[over], np.zeros(over.sum(), dtype=np.int64), _key(anchor[over] & np.uint64(LOW48), context[over]))
+        rows = _by_document(ids[over], all_tags[doc[over]], np.zeros(over.sum(), dtype=np.int64), _key(anchor[over], context[over]))
         out = [(-1, *_document(i, t), k, b"") for i, t, _, k in rows]
-        ids, tags, anchor, context = ids[new], tags[new], anchor[new], context[new]
+        doc, anchor, context = doc[new], anchor[new], context[new]
         part = _part_of(anchor, parts)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             own = order[bounds[p] : bounds[p + 1]]
             if len(own):
-                both = np.stack([ids[own], tags[own]], axis=1)
-                docs, owner = np.unique(both, axis=0, return_inverse=True)
+                numbers, owner = np.unique(doc[own], return_inverse=True)
+                docs = np.stack([all_ids[numbers], all_tags[numbers]], axis=1)
                 hashes = _pack48(anchor[own] & np.uint64(LOW48)) + _pack48(context[own] & np.uint64(LOW48))
-                out.append((p, docs.astype("<i8").tobytes(), hashes, owner.reshape(-1).astype("<u4" if len(docs) > 65535 else "<u2").tobytes()))
+                out.append((p, docs.astype("<i8").tobytes(), hashes, owner.astype("<u4" if len(docs) > 65535 else "<u2").tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "docs", "hashes", "owners"])
 
     def run(batches):
         np = _numpy()
-        held, size = [], 0
+        held, seen, size, documents = [], [], 0, 0
         for batch in batches:
             ids, tags = batch.column("_id").to_numpy(), batch.column("tag").to_numpy()
-            for own_ids, own_tags, data, sizes in _slices(ids, tags, batch.column("_text")):
-                text, _, _, _, anchor, context = anchors(data, sizes)
-                anchor, context = anchor & np.uint64((1 << 63) - 1), context & np.uint64(LOW48)
-                held.append((own_ids[text], own_tags[text], anchor, context))
-                size += len(text)
+            for chosen, raw, sizes in _slices(batch.column("_text")):
+                text, _, _, _, anchor, context = anchors(np.frombuffer(raw, dtype=np.uint8), sizes)
+                held.append((documents + text, anchor, context))
+                seen.append((ids[chosen], tags[chosen]))
+                size, documents = size + len(text), documents + len(chosen)
                 if size > BATCH_ENTRIES:
-                    yield flush(held)
-                    held, size = [], 0
+                    yield flush(held, seen)
+                    held, seen, size, documents = [], [], 0, 0
         if size:
-            yield flush(held)
+            yield flush(held, seen)
 
     return run
 
@@ -308,13 +294,17 @@ def _is_in(x, ordered):
     return ordered[at] == x
 
 
-def _document_anchors(text: str):
+def _of_documents(texts):
+    """(number of the text, its bytes, and of its anchors: place, first window, last window, anchor, key), several texts hashed at a time."""
     np = _numpy()
-    raw = text.encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, dtype=np.uint8)
-    _, where, first, last, anchor, context = anchors(data, np.array([len(raw)]))
-    anchor, context = anchor & np.uint64((1 << 63) - 1), context & np.uint64(LOW48)
-    return raw, data, where, first, last, anchor, _key(anchor & np.uint64(LOW48), context)
+    for chosen, raw, sizes in _slices(texts):
+        text, where, first, last, anchor, context = anchors(np.frombuffer(raw, dtype=np.uint8), sizes)
+        key = _key(anchor, context)
+        starts = np.cumsum(sizes) - sizes
+        cut = np.searchsorted(text, np.arange(len(sizes) + 1))
+        for n, (i, at, size) in enumerate(zip(chosen.tolist(), starts.tolist(), sizes.tolist())):
+            own = slice(cut[n], cut[n + 1])
+            yield i, raw[at : at + size], where[own] - at, first[own] - at, last[own] - at, anchor[own], key[own]
 
 
 def _contexts(parts: int):
@@ -337,21 +327,22 @@ def _contexts(parts: int):
 
         for batch in batches:
             ids, tags, lists = batch.column("_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("lists").to_pylist()
-            for i, text in enumerate(batch.column("_text")):
+            for i, raw, where, first, last, anchor, key in _of_documents(batch.column("_text")):
                 closer, hot = _chosen_keys(lists[i], (CLOSER,)), _chosen_keys(lists[i], (HOT,))
-                if not len(closer) and not len(hot):
-                    continue
-                raw, _, where, first, last, anchor, key = _document_anchors(text.as_py())
-                for k in np.flatnonzero(_is_in(key, closer) | _is_in(key, hot)):
-                    a, f, z, w = int(anchor[k]), int(first[k]), int(last[k]), int(where[k])
-                    if len(hot) and _is_in(key[k : k + 1], hot)[0]:
-                        pieces = [(x, x, int.from_bytes(hashlib.blake2b(raw[x : x + LENGTH], digest_size=8).digest(), "little") >> 1) for x in range(f, z + 1)]
-                    else:
-                        pieces = [(f, z, a)]
-                    for f, z, a in pieces:
-                        own = held.setdefault(int(_part_of(np.array([a], dtype=np.uint64), parts)[0]), [])
-                        own.append((ids[i], tags[i], (a, f, z + LENGTH - f, w - f), raw[f : z + LENGTH]))
+                apart = _is_in(key, hot)
+                own = np.flatnonzero(apart | _is_in(key, closer))
+                rows = zip(_part_of(anchor[own], parts).tolist(), anchor[own].tolist(), first[own].tolist(), last[own].tolist(), where[own].tolist(), apart[own].tolist())
+                for part, a, f, z, w, windows_apart in rows:
+                    if not windows_apart:
+                        held.setdefault(part, []).append((ids[i], tags[i], (a, f, z + LENGTH - f, w - f), raw[f : z + LENGTH]))
                         size += z + LENGTH - f
+                        continue
+                    for x in range(f, z + 1):
+                        window = raw[x : x + LENGTH]
+                        name = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little") >> 1
+                        part = int(_part_of(np.array([name], dtype=np.uint64), parts)[0])
+                        held.setdefault(part, []).append((ids[i], tags[i], (name, x, LENGTH, 0), window))
+                        size += LENGTH
                 if size > 8_000_000:
                     yield flush()
                     size = 0
@@ -403,19 +394,20 @@ def _sort_contexts(table: pa.Table) -> pa.Table:
 def _covered_windows(rows, data, ids):
     """(document, window position) of windows that a smaller document among the contexts holds.
 
-    The gram of an anchor is one symbol of its own, so that a window has SPAN symbols; only hot windows have no anchor inside.
+    The gram of an anchor is one symbol, the anchor's own, so that a window has SPAN symbols. Windows sent apart are named by their bytes; for them
+    the first 24 bytes take that part.
     """
     np = _numpy()
-    symbols = [np.zeros(1, dtype=np.int64)]
     names = np.cumsum(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) + 256
-    for (_, _, length, gram, _, start), name in zip(rows.tolist(), names.tolist()):
-        own = data[start : start + length].astype(np.int64) + 1
-        if length == LENGTH and not 0 <= gram <= LENGTH - GRAM:
-            gram = 0
-        symbols += [own[:gram], np.array([name]), own[gram + GRAM :], np.zeros(1, dtype=np.int64)]
-    text = np.concatenate(symbols)
+    sizes = rows[:, 2] - GRAM + 2  # the gram is one symbol, and a 0 ends the context
+    begin = 1 + np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(rows)), sizes)
+    at = np.arange(1, 1 + len(row)) - begin[row]
+    source = rows[row, 5] + at + np.where(at > rows[row, 3], GRAM - 1, 0)
+    own = data[np.minimum(source, len(data) - 1)].astype(np.int64) + 1
+    own = np.where(at == rows[row, 3], names[row], np.where(at == sizes[row] - 1, 0, own))
+    text = np.concatenate([np.zeros(1, dtype=np.int64), own])
     windows = rows[:, 2] - LENGTH + 1
-    begin = 1 + np.cumsum(rows[:, 2] - GRAM + 2) - (rows[:, 2] - GRAM + 2)
     owner = np.full(len(text), -1, dtype=np.int64)
     place = np.zeros(len(text), dtype=np.int64)
     each = np.repeat(np.arange(len(rows)), windows)
@@ -437,14 +429,12 @@ def _covered_windows(rows, data, ids):
 
 # --- 3: cuts ----------------------------------------------------------------------------------
 
-def removed_spans(text: str, lists, windows) -> tuple[bytes, list[tuple[int, int]]]:
-    """(bytes, removed runs) of a text, from its covered contexts and windows."""
+def removed_spans(size: int, first, last, key, lists, windows) -> list[tuple[int, int]]:
+    """Removed runs of a text of some bytes, from its anchors, its covered contexts and its covered windows."""
     np = _numpy()
+    edge = np.zeros(size + 1, dtype=np.int64)
     keys = _chosen_keys(lists or [], (COVERED,))
-    raw = text.encode("utf-8", "surrogatepass")
-    edge = np.zeros(len(raw) + 1, dtype=np.int64)
     if len(keys):
-        _, _, _, first, last, _, key = _document_anchors(text)
         hit = _is_in(key, keys)
         np.add.at(edge, first[hit], 1)
         np.add.at(edge, last[hit] + LENGTH, -1)
@@ -454,7 +444,7 @@ def removed_spans(text: str, lists, windows) -> tuple[bytes, list[tuple[int, int
         np.add.at(edge, p + LENGTH, -1)
     inside = np.r_[False, np.cumsum(edge)[:-1] > 0, False]
     turns = np.flatnonzero(inside[1:] != inside[:-1])
-    return raw, list(zip(turns[::2].tolist(), turns[1::2].tolist()))
+    return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
 
 
 def kept_bytes(raw: bytes, spans) -> bytes:
@@ -484,10 +474,10 @@ def _cut(with_text: bool, schema: pa.Schema):
         for batch in batches:
             lists, windows = batch.column("lists").to_pylist(), batch.column("windows").to_pylist()
             rows = []
-            for i, text in enumerate(batch.column("_text")):
-                raw, spans = removed_spans(text.as_py(), lists[i], windows[i])
+            for i, raw, _, first, last, _, key in _of_documents(batch.column("_text")):
+                spans = removed_spans(len(raw), first, last, key, lists[i], windows[i]) if lists[i] or windows[i] else []
                 if with_text:
-                    rows.append((kept_text(raw, spans) if spans else text.as_py(),))
+                    rows.append((kept_text(raw, spans),))
                 else:
                     rows.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()))
             columns = list(zip(*rows)) if rows else [[]] * (1 if with_text else 4)
@@ -498,12 +488,6 @@ def _cut(with_text: bool, schema: pa.Schema):
     return run
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, whose results are stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Stored (_id, tag, lists, windows): what is covered in each document that has something covered."""
     spark = documents.sparkSession
@@ -516,7 +500,6 @@ def repeats(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # What a batch decided itself only passes through: any task may take it.
     entries = entries.withColumn("spread", F.when(F.col("part") >= 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("docs"), F.lit(parts)).cast("int")))
     decided = stored(entries.groupBy("part", "spread").applyInArrow(_decided, DONE_SCHEMA), "decided")
-    _release(spark)
 
     def lists(kinds: str):
         return decided.where(kinds).groupBy("_id", "tag").agg(F.collect_list(F.struct("kind", "keys")).alias("lists"))
@@ -525,7 +508,6 @@ def repeats(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     contexts = closer.mapInArrow(_contexts(parts), CONTEXT_SCHEMA)
     windows = contexts.groupBy("part").applyInArrow(_sort_contexts, "_id bigint, tag bigint, windows binary")
     windows = stored(windows, "covered-windows")
-    _release(spark)
     by_window = windows.groupBy("_id", "tag").agg(F.collect_list("windows").alias("windows"))
     return lists(f"kind = {COVERED}").join(by_window, ["_id", "tag"], "full")
 
