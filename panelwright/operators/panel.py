@@ -38,6 +38,12 @@ def hashed(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def year_rows(entities: DataFrame, start, end, year: str = "panel_year") -> DataFrame:
+    """A row per entity and year of the calendar: the grain for facts by year, one twelfth of the dense rows."""
+    ends = [F.year(F.lit(day).cast("date")) for day in (start, end)]
+    return entities.select("*", F.explode(F.sequence(*ends)).alias(year))
+
+
 def month_spine(start, end) -> Column:
     """Array of month starts from start to end, both included."""
     return F.expr(f"sequence(date'{start}', date'{end}', interval 1 month)")
@@ -184,6 +190,8 @@ def build_panel(
         kept = kept.withColumn("bin_clean", F.col("internal_bin_static").cast("string"))
         heavy = heavy_keys(kept, "bin_clean", rows_per_piece)
         kept = with_piece(kept, heavy, "bin_clean", ENTITY)
+        # Taken before the joins below, which the building side then does not repeat.
+        bins = kept.select("bin_clean")
     if first_visited is not None:
         zips = first_visited.select(
             F.col("zip").cast("int").alias("internal_zip_static"), F.col("month_first_canvassed")
@@ -191,18 +199,32 @@ def build_panel(
         kept = kept.join(zips, "internal_zip_static", "left")
     else:
         kept = kept.withColumn("month_first_canvassed", F.lit(None).cast("date"))
-    # Year grain first: the tract join meets one row per entity and year instead of twelve.
+    # Year grain first: tract and building joins meet one row per entity and year instead of twelve.
+    spine = month_spine(start, end)
+    if tracts is not None or by_building:
+        kept = year_rows(kept, start, end)
+        spine = F.filter(spine, lambda m: F.year(m) == F.col("panel_year"))
     if tracts is not None:
-        kept = kept.select("*", F.explode(F.sequence(F.year(F.lit(start).cast("date")), F.year(F.lit(end).cast("date")))).alias("tract_year"))
         facts = tracts.withColumnsRenamed(
-            {"acs_tract_state_county_tract": "tract_key", "year_tomerge_rounded": "tract_year"}
+            {"acs_tract_state_county_tract": "tract_key", "year_tomerge_rounded": "panel_year"}
         )
         kept = kept.withColumn("tract_key", F.col("internal_census_tract_static").cast("bigint"))
-        kept = kept.join(facts, ["tract_key", "tract_year"], "left").drop("tract_key")
-        spine = F.filter(month_spine(start, end), lambda m: F.year(m) == F.col("tract_year"))
+        kept = kept.join(facts, ["tract_key", "panel_year"], "left").drop("tract_key")
+    static = [c for c in kept.columns if c not in ("month_first_canvassed", "panel_year", "bin_clean", PIECE)]
+    carried = [*static, "month_first_canvassed"]
+    from_building: list[str] = []
+    if by_building:
+        # A building's months of a year ride to its entities as one map of at most twelve structs and are spread by the calendar, so
+        # dense rows are made once and stay where they are. Even a building with a third of all entities meets many tasks.
+        building = building_panel(bins, start, end, violations, litigation)
+        from_building = [c for c in building.columns if c not in ("bin_clean", MONTH)]
+        entry = F.struct(F.col(MONTH), F.struct(*from_building))
+        by_year = building.groupBy("bin_clean", F.year(MONTH).alias("panel_year")).agg(F.map_from_entries(F.collect_list(entry)).alias("_months"))
+        kept = kept.join(with_copies(by_year, heavy, "bin_clean"), ["bin_clean", "panel_year", PIECE], "left")
+        spine = F.transform(spine, lambda m: F.struct(m.alias(MONTH), F.try_element_at("_months", m).alias("building")))
+        panel = hashed(kept, ENTITY).select(*carried, F.explode(spine).alias("_at")).select(*carried, f"_at.{MONTH}", "_at.building")
     else:
-        spine = month_spine(start, end)
-    panel = hashed(kept, ENTITY).select("*", F.explode(spine).alias(MONTH)).drop("tract_year")
+        panel = hashed(kept, ENTITY).select(*carried, F.explode(spine).alias(MONTH))
     rollups = {"visits": visits, "opened": opened, "closed": closed, "followups": followups, "workers": workers}
     for name, rollup in rollups.items():
         if rollup is not None:
@@ -249,12 +271,5 @@ def build_panel(
             features.append(F.col(f"workers_last.sp_{w}_ever").alias(f"internal_sp_{w}_any_ever"))
 
     labels = [value.alias(name) for name, value in label_expressions("visits_next", "opened_next").items()]
-    static = [c for c in kept.columns if c not in ("month_first_canvassed", "tract_year")]
-    panel = panel.where(F.col(MONTH) < F.lit(end).cast("date")).select(*static, MONTH, *features, *labels)
-    if not by_building:
-        return panel
-    building = building_panel(kept.select("bin_clean"), start, end, violations, litigation)
-    # Hashed on (building, month, piece): even a building with a third of all entities meets many tasks.
-    on = ["bin_clean", MONTH, PIECE]
-    building = hashed(with_copies(building, heavy, "bin_clean"), *on)
-    return panel.join(building, on, "left").drop("bin_clean", PIECE)
+    features += [F.col(f"building.{c}").alias(c) for c in from_building]
+    return panel.where(F.col(MONTH) < F.lit(end).cast("date")).select(*static, MONTH, *features, *labels)

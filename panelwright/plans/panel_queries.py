@@ -467,24 +467,20 @@ where internal_units_static >= 6
 """,
 )
 def tract_year_join(t):
-    """Month rows meet tract facts of their year, then take the static columns back by entity."""
+    """Entity-years meet tract facts and take the static columns back by entity; only then the calendar is spread."""
     people = st.entities(t)
-    dense = p.dense_panel(
-        people.select("address_id", "internal_census_tract_static", "internal_units_static"),
-        st.START,
-        st.END,
-        units="internal_units_static",
-    )
+    years = p.year_rows(people.where(F.col("internal_units_static").cast("int") >= p.MIN_UNITS), st.START, st.END)
     facts = st.tracts(t)
-    joined = dense.join(
+    joined = years.select("address_id", "internal_census_tract_static", "panel_year").join(
         facts,
         (F.col("internal_census_tract_static").cast("bigint") == F.col("acs_tract_state_county_tract"))
-        & (F.col("year") == F.col("year_tomerge_rounded")),
+        & (F.col("panel_year") == F.col("year_tomerge_rounded")),
         "left",
     )
     static = people.select("address_id", "internal_zip_static")
-    return joined.join(static, "address_id", "left").select(
-        "address_id", "month_start", "internal_zip_static", "acs_tract_median_rent"
+    months = F.filter(p.month_spine(st.START, st.END), lambda m: F.year(m) == F.col("panel_year"))
+    return p.hashed(joined, "address_id").join(p.hashed(static, "address_id"), "address_id", "left").select(
+        "address_id", F.explode(months).alias("month_start"), "internal_zip_static", "acs_tract_median_rent"
     )
 
 
