@@ -115,7 +115,18 @@ def impute_labels(t):
     return zeros.select("doc_id", "quality", F.col("quality_imputed").alias("zeros"), "ones", "quality_imputed_flag")
 
 
-@query("impute_labels_random")
+@query(
+    "impute_labels_random",
+    f"""
+with labelled as (
+  select lang, quality, ('0x' || left(md5(doc_id || '|{impute.SEED}'), 12))::bigint / {float(1 << 48)} as u
+  from documents left join labels using (doc_id))
+select lang, cast(quality is null as integer) as quality_imputed_flag, count(*) as rows,
+       cast(sum(coalesce(quality, cast(u < 0.5 as integer))) as bigint) as coin_ones,
+       cast(sum(coalesce(quality, cast(u < 0.2 as integer))) as bigint) as bernoulli_ones
+from labelled group by 1, 2
+""",
+)
 def impute_labels_random(t):
     """Coin flips and Bernoulli(0.2) for missing labels; the same rows on every run and partitioning."""
     coin = impute.impute_labels(_labelled(t), "quality", impute.RANDOM, ["doc_id"])

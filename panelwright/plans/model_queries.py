@@ -95,6 +95,74 @@ def decision_tree_scores(t):
     return _run(t, "DecisionTreeClassifier", {"maxDepth": 4}).predictions
 
 
+_URGENT = """
+people as (
+  select o_custkey as entity_id, date '2000-01-01' as month_start, max(cast(o_orderpriority = '1-URGENT' as integer)) as urgent,
+         cast(2 * count(*) filter (where o_orderstatus = 'F') > count(*) as integer) as half,
+         cast(3 * count(*) filter (where o_orderstatus = 'F') > count(*) as integer) as label
+  from orders group by 1),
+scored as (select *, avg(label) over (partition by urgent) as score from people)
+"""
+
+
+def _urgent(t):
+    """Customers with 0/1 features and one 0/1 label; a fit on one such feature has a closed form."""
+    rows = t.orders.groupBy(F.col("o_custkey").alias("entity_id")).agg(
+        F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"),
+        (F.count_if(F.col("o_orderstatus") == "F") * 2 > F.count(F.lit(1))).cast("int").alias("half"),
+        (F.count_if(F.col("o_orderstatus") == "F") * 3 > F.count(F.lit(1))).cast("int").alias("label"),
+    )
+    return durable(rows.withColumn("month_start", F.lit("2000-01-01").cast("date")))
+
+
+@query(
+    "tree_known_scores",
+    f"""
+with {_URGENT},
+meant as (select * exclude (score), avg(label) over (partition by half) as score from scored),
+ranked as (select *, rank() over (order by score desc) + (count(*) over (partition by score) - 1) / 2 as place, count(*) over () as n from meant)
+select cast(7 as bigint) as model_id, month_start as as_of_date, 'all' as borough_predicted_for, entity_id, 'train' as training_table_name,
+       round(score, 6) as score, cast(100 as bigint) as top_k, 1 as label_observed, cast(floor(place) as integer) as rank_abs,
+       round(floor(place) / n, 6) as rank_pct
+from ranked
+""",
+)
+def tree_known_scores(t):
+    """A decision tree on one 0/1 feature: the score is the mean label of the feature's value; ranked prediction rows on top."""
+    rows = _urgent(t)
+    fitted = models.fit(rows, ["half"], "label", "DecisionTreeClassifier", {"maxDepth": 1})
+    scored = models.score(fitted, rows, ["entity_id", "month_start", "label"])
+    out = models.prediction_rows(scored, 7, "label", "train", 100, ["all"], entity="entity_id")
+    return out.withColumns({"score": F.round("score", 6), "rank_pct": F.round("rank_pct", 6)})
+
+
+@query("logistic_known_scores", f"with {_URGENT} select entity_id, label, round(score, 3) as score from scored")
+def logistic_known_scores(t):
+    """Logistic regression without penalty on one 0/1 feature meets the mean label of the feature's value."""
+    rows = _urgent(t)
+    fitted = models.fit(rows, ["urgent"], "label", "LogisticRegression", {"maxIter": 200, "tol": 1e-12})
+    return models.score(fitted, rows, ["entity_id", "label"]).withColumn("score", F.round("score", 3))
+
+
+@query(
+    "importance_known",
+    """
+with weights as (select p_brand as feature, cast(count(*) filter (where p_size > 25) as double) / count(*) as w from part group by 1),
+ranked as (select *, rank() over (order by w desc) + (count(*) over (partition by w) - 1) / 2 as place, count(*) over () as n from weights)
+select cast(3 as bigint) as model_id, feature, round(w, 6) as feature_importance, cast(floor(place) as integer) as rank_abs,
+       round(floor(place) / n, 6) as rank_pct
+from ranked
+""",
+)
+def importance_known(t):
+    """Importance rows, ranked, over weights that the parts give each brand."""
+    weights = t.part.groupBy(F.col("p_brand").alias("feature")).agg(
+        (F.count_if(F.col("p_size") > 25).cast("double") / F.count(F.lit(1))).alias("feature_importance")
+    )
+    ranked = models.importance_rows(weights, 3)
+    return ranked.withColumns({"feature_importance": F.round("feature_importance", 6), "rank_pct": F.round("rank_pct", 6)})
+
+
 # --- paged sources --------------------------------------------------------------------------------
 
 
