@@ -33,10 +33,7 @@ RATIO_LABELS = [
     "internal_cases_opened_per_open_next_month",
     "internal_cases_opened_per_knock_next_month",
 ]
-BINARY_NAMES = (
-    ".*_any.*|.*sp_.*|.*team.*|.*borough.*|internal_rent_stabilized_.*|.*heating_season.*|.*peu_target.*"
-    "|.*bldg_wide.*|.*flag.*"
-)
+BINARY_NAMES = ".*_any.*|.*sp_.*|.*team.*|.*borough.*|internal_rent_stabilized_.*|.*heating_season.*|.*peu_target.*|.*bldg_wide.*|.*flag.*"
 FACTOR_NAMES = ".*factor.*"
 LABEL_NAMES = ".*next_month"
 CHARACTER_NAMES = ".*tract$|.*tract_static$"

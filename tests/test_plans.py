@@ -93,3 +93,13 @@ def test_wide_panel_moves_no_dense_rows(spark, tables):
     assert left == []
     assert re.search(r"SortMergeJoin \[bin_clean#\d+, panel_year#\d+, _key_piece#\d+\]", text)
     assert len(re.findall(r"Aggregate\(keys=\[zip#", text)) <= 2 or "ReusedExchange" in text
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    """Rows alone do not decide: a wide statistic of few rows is shuffled."""
+    from panelwright.functions.sizing import broadcast_if_small
+
+    narrow = spark.range(5_000)
+    wide = narrow.select("id", *[F.lit(0.0).alias(f"f{i}") for i in range(1_000)])
+    assert "ResolvedHint" in broadcast_if_small(narrow)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in broadcast_if_small(wide)._jdf.queryExecution().analyzed().toString()
