@@ -48,7 +48,7 @@ def _numpy():
 
 def _tables():
     np = _numpy()
-    return np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+    return np.random.default_rng(20).integers(1, 2**64, 300, dtype=np.uint64)
 
 
 def mix(x):
@@ -59,20 +59,23 @@ def mix(x):
 
 
 def _blocks(data):
-    """Hashes of all strings of 24 and of 50 bytes of a buffer, from those of 1, 2, 4 ... bytes."""
+    """Hashes of all strings of 24 and, unmixed, of 50 bytes of a buffer: sums of random numbers of the bytes, times odd random numbers of the
+    places, built up from those of 1, 2, 4 ... bytes."""
     np = _numpy()
-    size, have = 1, _tables()[data]
-    kept = {1: have}
+    table = _tables()
+    odd = table[256:] | np.uint64(1)
+    size, have, level = 1, table[data], 0
+    kept = {}
     while size < 32:
-        have = mix(have[:-size] * np.uint64(0xD6E8FEB86659FD93) + have[size:]) if len(have) > size else have[:0]
-        size *= 2
+        have = have[:-size] * odd[level] + have[size:] if len(have) > size else have[:0]
+        size, level = size * 2, level + 1
         kept[size] = have
 
-    def joined(a, b, width):
+    def joined(a, width, times):
         n = max(0, len(data) - width + 1)
-        return mix(kept[a][:n] * np.uint64(0xA0761D6478BD642F) + kept[b][width - b : width - b + n])
+        return kept[a][:n] * times + kept[a][width - a : width - a + n]
 
-    return joined(16, 16, GRAM), joined(32, 32, LENGTH)
+    return mix(joined(16, GRAM, odd[10])), joined(32, LENGTH, odd[11])
 
 
 def _sliding(f, a, width):
@@ -108,7 +111,7 @@ def anchors(data, sizes):
     first, last = start[new], start[np.r_[new[1:] - 1, len(start) - 1]]
     where, anchor = at[new], grams[at[new]]
     with np.errstate(over="ignore"):
-        context = mix(wholes[first] * np.uint64(0xE7037ED1A0B428DB) + mix(wholes[last] + ((last - first) * 64 + (where - first)).astype(np.uint64)))
+        context = mix(mix(wholes[first]) * np.uint64(0xE7037ED1A0B428DB) + mix(wholes[last] + ((last - first) * 64 + (where - first)).astype(np.uint64)))
     return text[first], where, first, last, anchor & np.uint64((1 << 63) - 1), context & np.uint64(LOW48)
 
 
