@@ -2,6 +2,8 @@
 
 A text is cut into sentences, each normalised to lower-case words, and known sentences become identifiers. Ordered rules, longest sequences first,
 are then matched against the sequence of identifiers; a match uses its sentences up, so a later and shorter rule cannot claim them.
+Lines end sentences; but a known sentence wrapped over several lines of a paragraph, with or without comment marks, is joined first. The URL of a
+sentence may stand apart on a line of its own, and a list number before a known sentence does not count.
 The tables of sentences and rules are fixed and small; nothing is shuffled.
 """
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import ascii_lower, text_or_empty
 
 BREAKS = r"[.!?]+[ \t\r\n]+|\n"
+STOP = "\x01"
 UNKNOWN = "<?>"
 
 # Sentences of public licence texts and notices.
@@ -109,10 +112,28 @@ def known(sentences=None) -> dict[str, str]:
     return out
 
 
+def _joined(low: Column, table: dict[str, str]) -> Column:
+    """Normalised sentences between line feeds and STOPs, known ones on one line each: sentence ends and blank lines are STOPs."""
+    text = F.regexp_replace(F.translate(low, STOP, " "), r"[.!?]+[ \t\r\n]+", STOP)
+    text = F.regexp_replace(text, rf"(?:\n[^a-z0-9\n{STOP}]*)+(?=https?://)", "\n")
+    text = F.regexp_replace(text, rf"\n(?:[^a-z0-9\n{STOP}]*\n)+", STOP)
+    text = F.regexp_replace(F.regexp_replace(text, rf"[^a-z0-9\n{STOP}]+", " "), rf" ?([\n{STOP}]) ?", "$1")
+    text = F.concat(F.lit(STOP), F.trim(text), F.lit(STOP))
+    for sentence in table:
+        if " " in sentence and not re.fullmatch("[0-9 ]+", sentence):
+            wrapped = sentence.replace(" ", r"[ \n]")
+            text = F.regexp_replace(text, rf"(?<=[\n{STOP}])(?:[0-9]{{1,2}}[ \n{STOP}])?{wrapped}(?=[\n{STOP}])", sentence)
+    return text
+
+
 def _sequence(text: Column, table: dict[str, str]) -> Column:
     """(number of sentences with a word, identifiers joined in order) of a text."""
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    sentences = F.transform(F.split(ascii_lower(text), BREAKS), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    low = ascii_lower(text)
+    # A sentence is only there if its longest word is, so most texts are not searched.
+    longest = "|".join(sorted({max(sentence.split(), key=len) for sentence in table if not re.fullmatch("[0-9 ]+", sentence)} or {"$^"}))
+    parts = F.when(low.rlike(longest), F.split(_joined(low, table), rf"[\n{STOP}]")).otherwise(F.split(low, BREAKS))
+    sentences = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     worded = F.filter(sentences, lambda s: s != "")
     ids = F.transform(worded, lambda s: F.coalesce(F.concat(F.lit("<"), F.try_element_at(names, s), F.lit(">")), F.lit(UNKNOWN)))
     return F.array_join(ids, "")
