@@ -1,0 +1,15 @@
+"""Different texts of one id, with a smaller id in another batch."""
+
+import random
+
+from panelwright.llm import suffix_dedup
+
+
+def test_passage_goes_from_all_texts_of_an_id(spark):
+    random.seed(12)
+    own = ["".join(random.choice("abcdefgh ") for _ in range(150)) for _ in range(4)]
+    one, two, three, shared = own
+    rows = [(5, one + shared), (5, two + shared), (1, three + shared)]
+    df = spark.createDataFrame(rows[:2], "doc_id bigint, text string").coalesce(1).union(spark.createDataFrame(rows[2:], "doc_id bigint, text string").coalesce(1))
+    got = sorted((r.doc_id, r.n_removed >= 150) for r in suffix_dedup.find_repeats(df).collect())
+    assert got == [(1, False), (5, True), (5, True)]
