@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, licenses, packing, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from panelwright.llm import decontaminate, language_id, licenses, packing, prefix_trie, quality, ranked_search, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from panelwright.plans.catalog import Tables
 from panelwright.session import shared_dir, tune
 
@@ -78,3 +78,18 @@ def license_scans(t: Tables) -> DataFrame:
 def simhash_near_dedup(t: Tables) -> DataFrame:
     found = simhash.near_duplicates(t.documents)
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op11_ranked_search", ranked_search.SQL)
+def ranked_lexical_search(t: Tables) -> DataFrame:
+    return ranked_search.rank_documents(t.documents, t.benchmark)
+
+
+@query("op12_language_id")
+def language_predictions(t: Tables) -> DataFrame:
+    return language_id.identify_languages(t.documents)
+
+
+@query("op13_conversation_prefix_trie", prefix_trie.SQL)
+def conversation_prefix_trie(t: Tables) -> DataFrame:
+    return prefix_trie.prefix_trie(t.conversations)

@@ -21,7 +21,7 @@ def texts(spark):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(CHECK_SQL))
