@@ -9,16 +9,18 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.sizing import broadcast_if_small
+from panelwright.functions.sizing import bounded_rows, broadcast_if_small
 from panelwright.operators.prefix import running_totals
 from panelwright.session import durable
 
 # Names of the level for missing values and of the pooled level.
 MISSING, OTHER = "missing", "OTHER"
 ENTITY = "address_id"
+MAX_PLACES = 5_000_000
 
 
 def known_level(feature: str) -> Column:
@@ -81,6 +83,23 @@ def encode_sparse(df: DataFrame, numbered: DataFrame, features: Sequence[str], k
     return df.join(rows, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<bigint>")))
 
 
+def level_places(numbered: DataFrame, most: int = MAX_PLACES) -> list[tuple[str, str]]:
+    """(feature, level) in the order of their places. As many as a model's weights, which the driver holds as well; more than ``most`` is an error."""
+    rows = bounded_rows(numbered.select("feature", "level", "place"), most, "levels")
+    return [(r["feature"], r["level"]) for r in sorted(rows, key=lambda r: r["place"])]
+
+
+def level_vector(df: DataFrame, places: Sequence[tuple[str, str]], features: Sequence[str], out: str = "levels") -> DataFrame:
+    """df with a sparse vector of its rows' levels, 1 at the place of each known one: input for any model, beside the rows, without a join.
+
+    A level without a place gives no entry: the pooled level is the one that all zeros stand for.
+    """
+    word = lambda f, level: F.concat(F.lit(f"{len(f)}:{f}="), level)
+    words = F.array(*[word(f, known_level(f)) for f in features])
+    counter = CountVectorizerModel.from_vocabulary([f"{len(f)}:{f}={v}" for f, v in places] or [""], inputCol="_words", outputCol=out)
+    return counter.setBinary(True).transform(df.withColumn("_words", words)).drop("_words")
+
+
 def pooled(feature: str, kept: Sequence[str]) -> Column:
     """The level where it was kept, else OTHER; missing is a level like any other."""
     return F.when(known_level(feature).isin(list(kept)), known_level(feature)).otherwise(OTHER)

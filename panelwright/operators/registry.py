@@ -5,6 +5,7 @@ Checks are joins over candidate rows, so many candidates are checked in one job.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import as_col
 from panelwright.operators.prefix import running_totals
+from panelwright.sources import once
 
 # Fixed value: share of features that counts as nearly the same set.
 NEAR_SHARE = 0.8
 RECENT = 5
+CONFIG_SCHEMA = "run_key string, name string, value string"
 TREES = [
     # Families that store no coefficients.
     "DecisionTreeClassifier",
@@ -188,7 +191,21 @@ def already_known(candidates: DataFrame, existing: DataFrame, keys: Sequence[str
 def run_config(spark: SparkSession, run_key: str, parameters: Mapping[str, object]) -> DataFrame:
     """A run's parameters as (run_key, name, value) rows, values as JSON text."""
     rows = [(run_key, name, json.dumps(value, default=str)) for name, value in parameters.items()]
-    return spark.createDataFrame(rows, "run_key string, name string, value string")
+    return spark.createDataFrame(rows, CONFIG_SCHEMA)
+
+
+def append_config(spark: SparkSession, folder: str, run_key: str, parameters: Mapping[str, object]) -> bool:
+    """Store a run's parameters under its key, once: False, and nothing changes, if the key is taken, by another writer at this moment too."""
+    rows = [{"run_key": run_key, "name": name, "value": json.dumps(value, default=str)} for name, value in parameters.items()]
+    text = "\n".join(json.dumps(r) for r in rows or [{"run_key": run_key}])
+    return once.put_if_absent(spark, f"{folder}/{hashlib.sha256(run_key.encode()).hexdigest()}.json", text)
+
+
+def read_configs(spark: SparkSession, folder: str) -> DataFrame:
+    """(run_key, name, value) of all runs stored below the folder."""
+    if not once.names_in(spark, folder):
+        return spark.createDataFrame([], CONFIG_SCHEMA)
+    return spark.read.schema(CONFIG_SCHEMA).json(folder).where(F.col("name").isNotNull())
 
 
 def updated_rows(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:

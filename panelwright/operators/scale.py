@@ -18,6 +18,8 @@ def column_bounds(train: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def fit_minmax(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
     """{feature: (min, max)}: the single row of bounds, as numbers for any later frame."""
+    if not features:
+        return {}
     row = column_bounds(train, features).first()
     return {f: (row[f"{f}_min"], row[f"{f}_max"]) for f in features}
 

@@ -33,11 +33,14 @@ def scored_documents(t):
     )
 
 
-SCORED = """
+SCORED_DOCUMENTS = """
 scored as (
   select lang as model_id, source as as_of_date, doc_id as entity_id,
          ((doc_id * 7919 + n_chars) % 100) / 100.0::double as score, 1 + n_chars % 40 as units, quality as label
-  from documents left join labels using (doc_id)),
+  from documents left join labels using (doc_id))
+"""
+
+CURVES = """
 filled as (
   select *, coalesce(label, 0) as l0, coalesce(label, 1) as l1, 1 - coalesce(label, 1) as flip,
          (label is null)::int as missing from scored),
@@ -68,6 +71,8 @@ curve as (
   from ranked)
 """
 
+SCORED = f"{SCORED_DOCUMENTS.strip()}, {CURVES.strip()}"
+
 _CURVE = ["precision_all", "precision_all_all", *evaluate.CURVE_METRICS[1:]]
 
 
@@ -139,19 +144,21 @@ def _cells(fill: str, truth: str, last: str, op: str) -> str:
     return ", ".join(f"count(*) filter (where {c}) as confusion_{n}{fill}" for n, c in conditions.items())
 
 
-def _metrics_sql(op: str) -> str:
+def metrics_sql(op: str, scored: str = SCORED_DOCUMENTS, ks: str = f"ks as (select cast(unnest([{_K_LIST}]) as bigint) as top_k)",
+                pairs: str = ", ks") -> str:
+    """Metrics of a table ``scored`` at each k; ``pairs`` says which k a group has."""
     upper = "(case when row_number <= last_row then l1 else l0 end)"
     lower = "(case when row_number <= last_row then l0 else l1 end)"
     return f"""
-with {SCORED}, ks as (select cast(unnest([{_K_LIST}]) as bigint) as top_k),
+with {scored}, {CURVES}, {ks},
 last_all as (
   select model_id, as_of_date, top_k,
          coalesce(min(row_number) filter (where num_units_so_far >= top_k), max(row_number)) as last_row
-  from curve, ks group by all),
+  from curve{pairs} group by all),
 last_known as (
   select model_id, as_of_date, top_k,
          coalesce(min(row_number) filter (where num_units_so_far >= top_k), max(row_number)) as last_row
-  from known, ks group by all),
+  from known{pairs} group by all),
 at_all as (
   select model_id, as_of_date, top_k,
          {", ".join(f"max({m}) filter (where row_number = last_row) as {m}" for m in evaluate.CURVE_METRICS)},
@@ -175,25 +182,23 @@ _KEYS = [*GROUP, "top_k"]
 
 @query(
     "metrics_at_k",
-    _metrics_sql("<") + f"select {', '.join(_KEYS)}, {', '.join(f'round({m}, 6) as {m}' for m in PLAIN)} from metrics",
+    metrics_sql("<") + f"select {', '.join(_KEYS)}, {', '.join(f'round({m}, 6) as {m}' for m in PLAIN)} from metrics",
 )
 def metrics_at_k(t):
     return rounded(evaluate.metrics_at_k(scored_documents(t), "label", KS, GROUP).select(*_KEYS, *PLAIN), PLAIN)
 
 
-@query("confusion_at_k", _metrics_sql("<") + f"select {', '.join(_KEYS + _COUNTS)} from metrics")
+@query("confusion_at_k", metrics_sql("<") + f"select {', '.join(_KEYS + _COUNTS)} from metrics")
 def confusion_at_k(t):
     return evaluate.metrics_at_k(scored_documents(t), "label", KS, GROUP).select(*_KEYS, *_COUNTS)
 
 
-@query("confusion_at_k_inclusive", _metrics_sql("<=") + f"select {', '.join(_KEYS + _COUNTS)} from metrics")
+@query("confusion_at_k_inclusive", metrics_sql("<=") + f"select {', '.join(_KEYS + _COUNTS)} from metrics")
 def confusion_at_k_inclusive(t):
     return evaluate.metrics_at_k(scored_documents(t), "label", KS, GROUP, inclusive=True).select(*_KEYS, *_COUNTS)
 
 
-METRIC_ROWS_SQL = (
-    _metrics_sql("<")
-    + f"""
+LONG_METRICS = f"""
 , typed as (
   select model_id, as_of_date, cast(top_k as varchar) as top_k,
          {", ".join(f"cast({m} as double) as {m}" for m in PLAIN + _COUNTS)} from metrics),
@@ -202,7 +207,7 @@ evaluations as (
          'test_split' as test_matrix_name, top_k
   from typed unpivot include nulls (value for metric in ({", ".join(PLAIN + _COUNTS)})))
 """
-)
+METRIC_ROWS_SQL = metrics_sql("<") + LONG_METRICS
 
 
 def evaluation_rows(t):
