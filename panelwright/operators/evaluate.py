@@ -1,19 +1,20 @@
 """Metrics at a capacity of k units, capacity lists, and what can be evaluated at all.
 
-One ranking pass, then one hash aggregate: running sums never fall along the ranking, so their values
-at the row where the units first reach k are their minima over the rows at or past k. No second join or
-sort is needed for any k.
+The capacity row of each k is found in two levels: the sums of range pieces say which piece holds the k-th unit, and only such pieces are put
+in order. Of their rows, each k picks one, by conditional maxima of one hash aggregate, so many k cost what one does and no row is repeated per k.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.sizing import broadcast_if_small
 from panelwright.operators import ranking
+from panelwright.operators.prefix import PIECE
 from panelwright.operators.ranking import GROUP
 from panelwright.session import durable
 
@@ -32,11 +33,34 @@ CURVE_METRICS = [
 FILLS = ["_no_impute", "_imputed_1", "_imputed_0", "_upper_bound", "_lower_bound"]
 CELLS = ["true_negative", "false_positive", "false_negative", "true_positive"]
 
-_RUNNING = ["row_number", "c_l0", "c_l1", "c_flip", "c_missing", "p_l0", "p_l1"]
-_RUNNING_KNOWN = ["known_row", "c_l0", "p_l0"]
+_AT = ["row_number", "c_l0", "c_l1", "c_flip", "c_missing", "p_l0", "p_l1"]
+_AT_KNOWN = ["known_row", "c_l0", "p_l0"]
+_END = {"row_number": "t_rows", "c_l0": "t_l0", "c_l1": "t_l1", "c_flip": "t_flip", "c_missing": "t_missing"}
 
 
-def _rows_at(ranked: DataFrame, label: str, group: Sequence[str], k: Column) -> DataFrame:
+def _reaches(k: Column, before: Column, upto: Column, first: Column, last: Column) -> Column:
+    """Whether the units of an order first reach k behind ``before`` and by ``upto``; all of them where they fall short, none where k is not above 0.
+
+    A k that is null is never reached.
+    """
+    limit = F.coalesce(k, F.lit((1 << 63) - 1))
+    return ((limit > before) | first) & ((limit <= upto) | last)
+
+
+def _pieces_with(ks: Sequence[Column]) -> Column:
+    """Range pieces that hold a capacity row, in the order of all rows or of the known ones."""
+    every = F.lit(False)
+    known_before, known = F.col("_b_rows") - F.col("_b_c_missing"), F.col("_n") - F.col("_s_c_missing")
+    for k in ks:
+        units, held = F.col("_b_num_units_so_far"), F.col("_s_num_units_so_far")
+        every |= _reaches(k, units, units + held, F.col("_b_rows") == 0, F.col("_b_rows") + F.col("_n") == F.col("t_rows"))
+        units, held = F.col("_b_known_units_so_far"), F.col("_s_known_units_so_far")
+        last = known_before + known == F.col("t_rows") - F.col("t_missing")
+        every |= (known > 0) & _reaches(k, units, units + held, known_before == 0, last)
+    return every
+
+
+def _rows_at(ranked: DataFrame, label: str, group: Sequence[str], units: str, ks: Mapping[str, Column]) -> DataFrame:
     """Per group and k, the running values at the capacity row (at_*) and at the last row (end_*).
 
     ``p_*`` are the sums before the row itself. The known_* forms are over rows with a known label: both
@@ -45,45 +69,44 @@ def _rows_at(ranked: DataFrame, label: str, group: Sequence[str], k: Column) ->
     fills = ranking.label_fills(label)
     rows = ranked.select(
         *group,
-        "row_number",
-        *[f"c_{x}" for x in ("l0", "l1", "flip", "missing")],
+        *ks.values(),
+        *_AT[:5],
+        *_END.values(),
         (F.col("c_l0") - fills["l0"]).alias("p_l0"),
         (F.col("c_l1") - fills["l1"]).alias("p_l1"),
-        (F.col("row_number") - F.col("c_missing")).alias("known_row"),
         fills["missing"].alias("missing"),
-        "num_units_so_far",
-        "known_units_so_far",
-        F.explode(k).alias("top_k"),
-    )
-    known = F.col("missing") == 0
-    reached = F.col("num_units_so_far") >= F.col("top_k")
-    reached_known = known & (F.col("known_units_so_far") >= F.col("top_k"))
-    parts = []
-    for x in _RUNNING:
-        parts += [F.min(F.when(reached, F.col(x))).alias(f"at_{x}"), F.max(x).alias(f"end_{x}")]
-    for x in _RUNNING_KNOWN:
-        parts += [
-            F.min(F.when(reached_known, F.col(x))).alias(f"at_known_{x}"),
-            F.max(F.when(known, F.col(x))).alias(f"end_known_{x}"),
-        ]
-    found = rows.groupBy(*group, "top_k").agg(*parts)
-    # Too few units: the capacity row is the last row.
-    names = _RUNNING + [f"known_{x}" for x in _RUNNING_KNOWN]
-    return found.select(
-        *group,
-        "top_k",
-        *[F.coalesce(f"at_{x}", f"end_{x}").alias(f"at_{x}") for x in names],
-        *[f"end_{x}" for x in names],
+        (F.col("row_number") - F.col("c_missing")).alias("known_row"),
+        (F.col("t_rows") - F.col("t_missing")).alias("known_rows"),
+        F.coalesce(F.col(units).cast("long"), F.lit(0).cast("long")).alias("held"),
+        F.col("num_units_so_far").alias("upto"),
+        F.col("known_units_so_far").alias("known_upto"),
     )
 
+    def reached(k: Column) -> Column:
+        return _reaches(k, F.col("upto") - F.col("held"), F.col("upto"), F.col("row_number") == 1, F.col("row_number") == F.col("t_rows"))
+
+    def reached_known(k: Column) -> Column:
+        before, last = F.col("known_upto") - F.col("held"), F.col("known_row") == F.col("known_rows")
+        return (F.col("missing") == 0) & _reaches(k, before, F.col("known_upto"), F.col("known_row") == 1, last)
+
+    # One row or two per group and k are left; only these are put beside each k.
+    names = [k for k in rows.columns if k.startswith("_k")]
+    chosen = reduce(lambda a, b: a | b, [reached(F.col(k)) | reached_known(F.col(k)) for k in names])
+    kept = rows.where(chosen)
+    long = kept.unpivot([c for c in kept.columns if c not in names], names, "_name", "top_k")
+    long = long.withColumns({"hit": reached(F.col("top_k")), "hit_known": reached_known(F.col("top_k"))})
+    at = [F.max(F.when(F.col("hit"), F.col(x))).alias(f"at_{x}") for x in _AT]
+    at += [F.max(F.when(F.col("hit_known"), F.col(x))).alias(f"at_known_{x}") for x in _AT_KNOWN]
+    end = [F.max(t).alias(f"end_{x}") for x, t in _END.items()]
+    known = F.max(F.when(F.col("known_rows") > 0, F.col("known_rows"))).alias("end_known_known_row")
+    known_l0 = F.max(F.when(F.col("known_rows") > 0, F.col("t_l0"))).alias("end_known_c_l0")
+    return long.groupBy(*group, "_name", "top_k").agg(*at, *end, known, known_l0).drop("_name")
+
 
-def _capacity(k) -> Column:
-    """k as an array column: from a list of numbers, one number, or a column of one number per group."""
-    if isinstance(k, (list, tuple)):
-        return F.array(*[F.lit(x).cast("long") for x in k])
-    if isinstance(k, (int, float)):
-        return F.array(F.lit(k).cast("long"))
-    return F.array(k.cast("long"))
+def _capacities(k) -> dict[str, Column]:
+    """Each k under a name of its own: from a list of numbers, one number, or a column of one number per group."""
+    every = k if isinstance(k, (list, tuple)) else [k]
+    return {f"_k{i}": x if isinstance(x, Column) else F.lit(x).cast("long") for i, x in enumerate(dict.fromkeys(every) if not isinstance(k, Column) else every)}
 
 
 def metrics_at_k(
@@ -102,12 +125,15 @@ def metrics_at_k(
     Predicted positives stop before the capacity row; inclusive=True counts that row too. Precision and
     recall are always read at the capacity row. A column k must be constant within a group.
     """
-    rows, keep = df, ()
+    rows, order_group = df, list(group)
     if isinstance(k, Column):
-        rows, keep = df.withColumn("_k", k), ("_k",)
-        k = F.col("_k")
-    ranked = ranking.ranked_rows(rows, label, group, score, units, entity, keep, bounded)
-    state = _rows_at(ranked, label, group, _capacity(k))
+        # One number per group: as a part of the group it is known wherever the group is.
+        rows, order_group = df.withColumn("_own_k", k.cast("long")), [*group, "_own_k"]
+        k = F.col("_own_k")
+    ks = {name: x.alias(name) for name, x in _capacities(k).items()}
+    in_pieces = {name: F.col(f"{PIECE}._own_k") if "_own_k" in order_group else x for name, x in ks.items()}
+    ranked = ranking.ranked_rows(rows, label, order_group, score, units, entity, (), bounded, _pieces_with(list(in_pieces.values())))
+    state = _rows_at(ranked, label, group, units, ks)
     c = {x: F.col(f"at_c_{x}") for x in ("l0", "l1", "flip", "missing")}
     t = {x: F.col(f"end_c_{x}") for x in ("l0", "l1", "flip")}
     curve = ranking.bounds(F.col("at_row_number"), c, t)

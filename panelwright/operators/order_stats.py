@@ -7,7 +7,7 @@ values with a distributed prefix sum, and the rows at the wanted positions are p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,20 +30,23 @@ def modes(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def quantiles(counts: DataFrame, group: Sequence[str], q: float, name: str = "quantile") -> DataFrame:
-    """Quantile per (group, feature) with linear interpolation between the two nearest values."""
+def quantiles(counts: DataFrame, group: Sequence[str], q: float | Mapping[str, float], name: str = "quantile") -> DataFrame:
+    """Quantile per (group, feature) with linear interpolation between the two nearest values; a column each for {name: q}.
+
+    Running counts are made once for all of them: the value at a position is the least one whose running count lies above it.
+    """
+    wanted = q if isinstance(q, Mapping) else {name: q}
     keys = [*group, "feature"]
     placed = running_totals(counts, keys, [F.col("value")], {"upto": F.col("n")}, {"total": F.col("n")})
-    position = (F.col("total") - 1) * F.lit(float(q))
-    low, high = F.floor(position), F.ceil(position)
-    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
-    picked = placed.groupBy(*keys).agg(
-        F.max(F.when((first <= low) & (low <= last), F.col("value"))).alias("low_value"),
-        F.max(F.when((first <= high) & (high <= last), F.col("value"))).alias("high_value"),
-        F.max(position - low).alias("share"),
-    )
-    value = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * F.col("share")
-    return picked.select(*keys, value.alias(name))
+    parts = []
+    for i, share in enumerate(wanted.values()):
+        position = (F.col("total") - 1) * F.lit(float(share))
+        for side, place in (("low", F.floor(position)), ("high", F.ceil(position))):
+            parts.append(F.min(F.when(F.col("upto") > place, F.col("value"))).alias(f"_{side}_{i}"))
+        parts.append(F.max(position - F.floor(position)).alias(f"_share_{i}"))
+    picked = placed.groupBy(*keys).agg(*parts)
+    between = lambda i: F.col(f"_low_{i}") + (F.col(f"_high_{i}") - F.col(f"_low_{i}")) * F.col(f"_share_{i}")
+    return picked.select(*keys, *[between(i).alias(n) for i, n in enumerate(wanted)])
 
 
 def medians(counts: DataFrame, group: Sequence[str]) -> DataFrame:

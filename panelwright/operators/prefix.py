@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.sizing import broadcast_if_small
 from panelwright.session import durable
 
 PIECE = "_piece"
@@ -27,14 +28,18 @@ def running_totals(
     row_number: str | None = None,
     row_count: str | None = None,
     bounded: bool = False,
+    pieces: Column | None = None,
 ) -> DataFrame:
     """Running sums and row numbers per group, and the group's totals beside every row.
 
     ``sums`` and ``totals`` are {new column: summed expression}; expressions are evaluated where they are
     summed and not stored. ``order`` must be unique within a group.
     bounded=True says that every group fits one task and uses plain windows; both give the same rows.
+
+    ``pieces`` is a condition on what a range piece holds: its rows _n and sums _s_{name}, what lies before it, _b_rows and _b_{name}, and
+    the totals. Only rows of such pieces are ordered and returned: a search along the order looks into sums first. Not used when bounded.
     """
-    sums, totals = dict(sums or {}), dict(totals or {})
+    sums, totals, wanted = dict(sums or {}), dict(totals or {}), pieces
     one = F.lit(1).cast("long")
     if bounded:
         upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -52,7 +57,7 @@ def running_totals(
     # Stored, because the partition number must not change between the two uses below.
     ranged = durable(ranged)
     measured = {**sums, **totals}
-    pieces = ranged.groupBy(PIECE).agg(
+    summed = ranged.groupBy(PIECE).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(value).alias(f"_s_{name}") for name, value in measured.items()]
     )
     # One row per partition and group from here on: these windows are bounded by the partition count.
@@ -62,7 +67,11 @@ def running_totals(
     carried |= {f"_b_{name}": F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)) for name in sums}
     carried |= {} if row_count is None else {row_count: F.sum("_n").over(in_group)}
     carried |= {name: F.sum(f"_s_{name}").over(in_group) for name in totals}
-    offsets = pieces.select(PIECE, *[value.alias(name) for name, value in carried.items()])
+    if wanted is None:
+        offsets = summed.select(PIECE, *[value.alias(name) for name, value in carried.items()])
+    else:
+        offsets = summed.select("*", *[value.alias(name) for name, value in carried.items()]).where(wanted)
+        offsets = broadcast_if_small(durable(offsets.select(PIECE, *carried)))
 
     inside = Window.partitionBy(PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = {} if row_number is None else {row_number: F.sum(one).over(inside) + F.col("_b_rows")}

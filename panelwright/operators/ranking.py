@@ -68,8 +68,9 @@ def ranked_rows(
     entity: str = "entity_id",
     keep: Sequence[str] = (),
     bounded: bool = False,
+    pieces: Column | None = None,
 ) -> DataFrame:
-    """Rows in rank order: row_number, running units and label sums, and the group's totals."""
+    """Rows in rank order: row_number, running units and label sums, and the group's totals; of the range pieces wanted only, if stated."""
     narrow = df.select(*dict.fromkeys([*group, entity, score, units, label, *keep]))
     fills = label_fills(label)
     held = F.coalesce(F.col(units).cast("long"), F.lit(0).cast("long"))
@@ -78,7 +79,7 @@ def ranked_rows(
         "known_units_so_far": F.when(F.col(label).isNotNull(), held).otherwise(F.lit(0).cast("long")),
         **{f"c_{name}": value for name, value in fills.items()},
     }
-    totals = {f"t_{name}": fills[name] for name in ("l0", "l1", "flip")}
+    totals = {f"t_{name}": fills[name] for name in ("l0", "l1", "flip", "missing")}
     return running_totals(
         narrow,
         group,
@@ -88,6 +89,7 @@ def ranked_rows(
         row_number="row_number",
         row_count="t_rows",
         bounded=bounded,
+        pieces=pieces,
     )
 
 

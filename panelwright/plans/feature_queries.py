@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
-from panelwright.operators import columns, encode, impute, names, order_stats, scale
+from panelwright.operators import columns, encode, impute, names, order_stats, scale, split_stats
 from panelwright.plans.catalog import query
+from panelwright.session import durable, shared_dir
 
 CUT = "1999-01-01"
 
@@ -61,11 +64,9 @@ from train join modes using (borough) group by 1
 def group_stats(t):
     """Mean, exact median and smallest mode by group."""
     train = _spend(t, "train")
-    mean = impute.fit_group_stats(train, {"orders_n": impute.MEAN}).withColumnRenamed("orders_n", "mean")
-    median = impute.fit_group_stats(train, {"spend": impute.MEDIAN}).withColumnRenamed("spend", "median")
-    mode = impute.fit_group_stats(train, {"orders_n": impute.MODE}).withColumnRenamed("orders_n", "mode")
-    joined = mean.join(median, impute.BOROUGH).join(mode, impute.BOROUGH)
-    return joined.select(impute.BOROUGH, _six(F.col("mean")).alias("mean"), F.round("median", 4).alias("median"), "mode")
+    copies = train.select(impute.BOROUGH, F.col("orders_n").alias("mean"), F.col("spend").alias("median"), F.col("orders_n").alias("mode"))
+    stats = impute.fit_group_stats(copies, {"mean": impute.MEAN, "median": impute.MEDIAN, "mode": impute.MODE})
+    return stats.select(impute.BOROUGH, _six(F.col("mean")).alias("mean"), F.round("median", 4).alias("median"), "mode")
 
 
 @query(
@@ -269,14 +270,43 @@ def _spelled(t):
     return t.part.select("p_partkey", odd.when(F.col("p_partkey") % 7 == 1, F.upper(name)).otherwise(name).alias("name"))
 
 
-@query("name_canonical")
+_SPELLED_SQL = """
+spelled as (
+  select p_partkey, case when p_partkey % 7 = 0 then left(p_name, 2) || substr(p_name, 4) when p_partkey % 7 = 1 then upper(p_name) else p_name end as name
+  from part),
+counts as (select name, lower(trim(name)) as flat, count(*) as n from spelled group by 1)
+"""
+
+
+def _canonical_sql(d: int) -> str:
+    return f"""
+with recursive {_SPELLED_SQL.strip()},
+links as (select distinct a.flat as a, b.flat as b from counts a, counts b where levenshtein(a.flat, b.flat) <= {d}),
+reached as (select a, b from links union select r.a, l.b from reached r join links l on l.a = r.b),
+parts as (select a as flat, min(b) as part from reached group by 1),
+heads as (select part, first(name order by n desc, name) as canonical from counts join parts using (flat) group by 1),
+mapping as (select name, canonical from counts join parts using (flat) join heads using (part))
+select canonical as name, count(*) as parts from spelled join mapping using (name) group by 1
+"""
+
+
+def _canonical(t, d: int):
+    rows = _spelled(t)
+    counts = durable(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    mapping = names.canonical_names(names.similar_keys(counts, d), counts)
+    return names.rename(rows, "name", mapping).groupBy("name").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("name_canonical", _canonical_sql(1))
 def name_canonical(t):
     """Spellings one edit apart, through any chain, get their most frequent form."""
-    rows = _spelled(t)
-    counts = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    mapping = names.canonical_names(names.edit_keys(counts), counts)
-    renamed = names.rename(rows, "name", mapping)
-    return renamed.groupBy("name").agg(F.count(F.lit(1)).alias("parts"))
+    return _canonical(t, 1)
+
+
+@query("name_canonical_two", _canonical_sql(2))
+def name_canonical_two(t):
+    """The same within two edits."""
+    return _canonical(t, 2)
 
 
 @query(
@@ -320,7 +350,96 @@ from orders group by 1
 )
 def value_quantiles(t):
     counts = order_stats.value_counts(t.orders, ["o_orderpriority"], ["o_totalprice"])
-    q90 = order_stats.quantiles(counts, ["o_orderpriority"], 0.9, "q90")
-    q50 = order_stats.quantiles(counts, ["o_orderpriority"], 0.5, "q50")
-    joined = q90.join(q50, ["o_orderpriority", "feature"])
-    return joined.select("o_orderpriority", F.round("q90", 2).alias("q90"), F.round("q50", 2).alias("q50"))
+    found = order_stats.quantiles(counts, ["o_orderpriority"], {"q90": 0.9, "q50": 0.5})
+    return found.select("o_orderpriority", F.round("q90", 2).alias("q90"), F.round("q50", 2).alias("q50"))
+
+
+# --- statistics of all splits ---------------------------------------------------------------------
+
+SPLIT_DAYS = [f"{y}-{m:02d}-01" for y in (1996, 1998, 2000) for m in (1, 5, 9)]
+
+_MONTHLY_SQL = f"""
+monthly as (
+  select cast(date_trunc('month', o_orderdate) as date) as month_start, o_custkey as address_id, o_custkey % 3 as borough,
+         count(*)::double as orders_n, sum(o_totalprice)::double as spend, max(o_orderpriority) as top
+  from orders group by 1, 2),
+days as (select unnest([{", ".join(f"date '{d}'" for d in SPLIT_DAYS)}]) as split_date)
+"""
+
+
+def _monthly(t):
+    return t.orders.groupBy(F.col("o_custkey").alias("address_id"), F.trunc("o_orderdate", "month").alias("month_start")).agg(
+        F.count(F.lit(1)).alias("orders_n"), F.sum("o_totalprice").alias("spend"), F.max("o_orderpriority").alias("top")
+    ).withColumn(impute.BOROUGH, F.col("address_id") % 3)
+
+
+@query(
+    "split_statistics",
+    f"""
+with {_MONTHLY_SQL},
+long as (
+  select month_start, borough, 'orders_n' as feature, round(orders_n, 2) as value from monthly
+  union all select month_start, borough, 'spend', round(spend, 2) from monthly),
+modes as (
+  select split_date, borough, feature, value as mode from (
+    select split_date, borough, feature, value, row_number() over (partition by split_date, borough, feature order by count(*) desc, value) as place
+    from long join days on month_start < split_date group by 1, 2, 3, 4) where place = 1)
+select split_date, borough as {impute.BOROUGH}, feature, count(*) as n, round(avg(value), 4) as mean, min(value) as min, max(value) as max,
+       any_value(mode) as mode, round(median(value), 4) as median, round(quantile_cont(value, 0.9), 4) as q90
+from long join days on month_start < split_date join modes using (split_date, borough, feature) group by 1, 2, 3
+""",
+)
+def split_statistics(t):
+    """Mean, bounds, mode, median and a quantile of the training rows of nine splits, per group, from one reading of the rows."""
+    rows = _monthly(t).withColumns({"orders_n": F.round(F.col("orders_n").cast("double"), 2), "spend": F.round("spend", 2)})
+    sketch = split_stats.month_sketch(rows, impute.BOROUGH, ["orders_n", "spend"])
+    found = split_stats.split_statistics(sketch, SPLIT_DAYS, impute.BOROUGH, {"median": 0.5, "q90": 0.9})
+    return found.withColumns({c: F.round(c, 4) for c in ("mean", "median", "q90")})
+
+
+@query(
+    "split_statistics_extended",
+    f"""
+with {_MONTHLY_SQL}
+select split_date, borough as {impute.BOROUGH}, 'orders_n' as feature, count(*) as n, round(avg(orders_n), 4) as mean, round(median(orders_n), 4) as median
+from monthly join days on month_start <= split_date group by 1, 2
+""",
+)
+def split_statistics_extended(t):
+    """The same from stored sketches to which a last month is added; splits reach through their own month."""
+    name = f"{shared_dir(t.spark)}/sketches_{uuid4().hex}"
+    rows, last = _monthly(t), F.lit(SPLIT_DAYS[-1]).cast("date")
+    for part in (rows.where(F.col("month_start") < last), rows.where(F.col("month_start") >= last)):
+        split_stats.store_sketch(split_stats.month_sketch(part, impute.BOROUGH, ["orders_n"]), name)
+    stored = t.spark.read.parquet(name)
+    found = split_stats.split_statistics(stored, SPLIT_DAYS, impute.BOROUGH, through_split=True)
+    return found.select("split_date", impute.BOROUGH, "feature", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median")])
+
+
+@query(
+    "split_levels",
+    f"""
+with {_MONTHLY_SQL}
+select split_date, 'top' as feature, top as level, count(distinct address_id) as entities
+from monthly join days on month_start < split_date group by all
+""",
+)
+def split_levels(t):
+    """Entities per level in the training rows of nine splits."""
+    return split_stats.split_levels(_monthly(t), SPLIT_DAYS, ["top"])
+
+
+@query(
+    "many_quantiles",
+    """
+select l_returnflag, round(quantile_cont(l_extendedprice, 0.0), 2) as q0, round(quantile_cont(l_extendedprice, 0.1), 2) as q10,
+       round(quantile_cont(l_extendedprice, 0.25), 2) as q25, round(median(l_extendedprice), 2) as q50,
+       round(quantile_cont(l_extendedprice, 0.95), 2) as q95, round(quantile_cont(l_extendedprice, 1.0), 2) as q100
+from lineitem group by 1
+""",
+)
+def many_quantiles(t):
+    """Six quantiles from one set of running counts."""
+    shares = {f"q{round(q * 100)}": q for q in (0.0, 0.1, 0.25, 0.5, 0.95, 1.0)}
+    found = order_stats.quantiles(order_stats.value_counts(t.lineitem, ["l_returnflag"], ["l_extendedprice"]), ["l_returnflag"], shares)
+    return found.select("l_returnflag", *[F.round(c, 2).alias(c) for c in shares])
