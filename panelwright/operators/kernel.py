@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +99,58 @@ def fit_kernel_classifier(
     names = [f"rbf_{i}" for i in range(len(points))]
     model = models.fit(with_kernel_features(train, features, points, sigma), names, label, "SVC")
     return KernelClassifier(model, points, list(features), sigma)
+
+
+# --- random Fourier features ------------------------------------------------------------------
+
+
+def fourier_weights(dims: int, count: int, sigma: float = SIGMA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies (count x dims) and phases of the feature map, the same for one seed everywhere."""
+    draw = np.random.default_rng(seed)
+    return draw.normal(0, 1 / sigma, (count, dims)), draw.uniform(0, 2 * np.pi, count)
+
+
+def fourier_row(vector: str | Column, dims: int, count: int, sigma: float = SIGMA, seed: int = SEED) -> Column:
+    """Array of ``count`` features sqrt(2 / count) cos(w x + b), as column expressions; their dot product is close to the RBF kernel.
+
+    A component that is null counts as 0.
+    """
+    frequencies, phases = fourier_weights(dims, count, sigma, seed)
+    x = F.col(vector) if isinstance(vector, str) else vector
+    drawn = F.arrays_zip(F.lit(frequencies.tolist()).alias("w"), F.lit(phases.tolist()).alias("b"))
+    dot = lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * F.coalesce(b.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+    return F.transform(drawn, lambda d: F.lit(float(np.sqrt(2 / count))) * F.cos(dot(d["w"]) + d["b"]))
+
+
+def dot_product(a: str | Column, b: str | Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def fourier_bound(count: int, pairs: int, chance: float = 1e-6) -> float:
+    """Error that none of ``pairs`` kernel values exceeds, but for this chance: each of the count terms lies within 2 of 0 (Hoeffding)."""
+    return float(np.sqrt(8 * np.log(2 * max(1, pairs) / chance) / count))
+
+
+@dataclass
+class FourierClassifier:
+    """A linear classifier on random Fourier features, in place of the kernel classifier."""
+
+    model: PipelineModel
+    features: list[str]
+    count: int
+    sigma: float
+    seed: int
+
+    def score(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        return models.score(self.model, with_fourier_features(rows, self.features, self.count, self.sigma, self.seed), keep)
+
+
+def with_fourier_features(df: DataFrame, features: Sequence[str], count: int, sigma: float = SIGMA, seed: int = SEED, out: str = "fourier") -> DataFrame:
+    """df with one vector column of random Fourier features of scaled feature columns."""
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    return df.withColumn(out, array_to_vector(fourier_row(x, len(features), count, sigma, seed)))
+
+
+def fit_fourier_classifier(train: DataFrame, features: Sequence[str], label: str, count: int = 200, sigma: float = SIGMA, seed: int = SEED) -> FourierClassifier:
+    model = models.fit(with_fourier_features(train, features, count, sigma, seed), ["fourier"], label, "SVC")
+    return FourierClassifier(model, list(features), count, sigma, seed)

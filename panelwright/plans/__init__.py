@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from panelwright.plans import catalog, feature_queries, model_queries, panel_queries, ranking_queries, results_queries, run_queries, store_queries  # noqa: F401
+    from panelwright.plans import catalog, extension_queries, feature_queries, model_queries, panel_queries, ranking_queries, results_queries, run_queries, store_queries  # noqa: F401
 
     return catalog
 

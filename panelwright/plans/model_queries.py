@@ -74,6 +74,38 @@ def rbf_pairs(t):
     return cells.withColumn("k", F.round("k", 6))
 
 
+FOURIER = 256
+
+
+@query(
+    "fourier_kernel",
+    """
+with cells as (select label % 16 as label, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings),
+means as (select label, pos, avg(cast(x as double)) as m from cells group by 1, 2),
+rows as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings)
+select vec_id, label as landmark, round(exp(-sum((cast(x as double) - m) ** 2) / 2), 5) as k, true as within
+from rows join means using (pos) group by 1, 2
+""",
+)
+def fourier_kernel(t):
+    """Kernel values from random Fourier features lie within the bound of the exact ones, for all vectors against 16 landmarks."""
+    rows = t.embeddings
+    marks = kernel.centroids(rows.withColumn("landmark", F.col("label") % 16), "landmark", "embedding")
+    names, points = kernel.landmark_rows(marks, "landmark", "embedding", 16)
+    dims = points.shape[1]
+    sets = F.array(*[F.struct(F.lit(n).alias("landmark"), F.lit(p.tolist()).alias("point")) for n, p in zip(names, points)])
+    # Stored, so that a row's features are made once and not for each landmark.
+    mapped = durable(rows.select("vec_id", "embedding", kernel.fourier_row("embedding", dims, FOURIER, 1.0).alias("z"))).select("*", F.explode(sets).alias("mark"))
+    marked = t.spark.createDataFrame([(n, p.tolist()) for n, p in zip(names, points)], f"landmark {rows.schema['label'].dataType.simpleString()}, point array<double>")
+    marked = durable(marked.select("landmark", kernel.fourier_row("point", dims, FOURIER, 1.0).alias("mark_z")))
+    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
+    exact = F.exp(-square(F.col("embedding"), F.col("mark.point")) / 2)
+    both = mapped.join(F.broadcast(marked), F.col("mark.landmark") == F.col("landmark"))
+    bound = kernel.fourier_bound(FOURIER, rows.count() * len(names))
+    within = F.abs(kernel.dot_product("z", "mark_z") - exact) <= bound
+    return both.select("vec_id", "landmark", F.round(exact, 5).alias("k"), within.alias("within"))
+
+
 @query("kernel_scores")
 def kernel_scores(t):
     """Scores of the kernel classifier: customers with many finished orders, from scaled features."""
