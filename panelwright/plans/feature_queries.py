@@ -223,6 +223,24 @@ def level_dummies(t):
     return sums.select(F.inline(F.array(*cells)))
 
 
+@query(
+    "encoded_long_rows",
+    """
+with segments as (select c_mktsegment as s from customer group by 1 having count(*) >= (select count(*) // 5 from customer))
+select o_orderkey, o_custkey as address_id, case when c_mktsegment in (select s from segments) then c_mktsegment else 'OTHER' end as segment,
+       cast(c_mktsegment not in (select s from segments) as integer) as segment_OTHER
+from orders left join customer on o_custkey = c_custkey where o_orderpriority = '1-URGENT'
+""",
+)
+def encoded_long_rows(t):
+    """Levels pooled and encoded once per customer, and put beside the customer's orders."""
+    people = t.customer.select(F.col("c_custkey").alias("address_id"), F.col("c_mktsegment").alias("segment"))
+    kept = encode.levels_by_feature(encode.fit_levels(people, ["segment"], people.count() // 5))
+    encoded = encode.recode(encode.level_dummies(people, kept, ["segment"]), kept, ["segment"])
+    long = t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_custkey").alias("address_id"))
+    return encode.attach_by_entity(long, encoded.select("address_id", "segment", "segment_OTHER"))
+
+
 def _flags(t, before: bool):
     day = F.lit("1998-01-01").cast("date")
     rows = t.lineitem.where(F.col("l_shipdate") < day if before else F.col("l_shipdate") >= day)

@@ -603,3 +603,21 @@ where month_start < split_date group by split_date
 def split_profile(t):
     profile = splits.train_profile(label_panel(t), SPLITS, _LABEL)
     return profile.withColumn("label_mean", _six(F.col("label_mean")))
+
+
+@query(
+    "split_list",
+    """
+select cast(m as date) as split_date, count(*) as train_months
+from (select unnest(generate_series(min(date_trunc('month', o_orderdate)), max(date_trunc('month', o_orderdate)), interval 1 month)) as m from orders) s
+join (select distinct date_trunc('month', o_orderdate) as d from orders) on d <= m group by 1
+""",
+)
+def split_list(t):
+    """A split for every month from the first order to the last, with the months up to it that hold orders."""
+    first, last = t.orders.agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
+    days = splits.split_dates(first.replace(day=1), last.replace(day=1))
+    months = t.orders.select(F.trunc("o_orderdate", "month").alias("month_start")).distinct()
+    return splits.with_train_splits(months, days, through_split=True).groupBy("split_date").agg(
+        F.count(F.lit(1)).alias("train_months")
+    )

@@ -321,6 +321,21 @@ def topk_entities(t):
     return ranking.within_capacity(scored_customers(t, 13), CAPACITY, ["as_of_date"])
 
 
+@query(
+    "topk_places",
+    f"""
+with {st.ENTITIES}, {_customer_sql("scored", 13)}
+select as_of_date, entity_id, score, internal_zip_static, balance_static
+from scored join entities on entity_id = address_id where so_far - units < {CAPACITY}
+""",
+)
+def topk_places(t):
+    """The top-k list with the places of its entities: attached to the few listed rows, not to the ranked ones."""
+    listed = ranking.within_capacity(scored_customers(t, 13), CAPACITY, ["as_of_date"])
+    places = st.entities(t).select(F.col("address_id").alias("entity_id"), "internal_zip_static", "balance_static")
+    return listed.join(places, "entity_id").select("as_of_date", "entity_id", "score", "internal_zip_static", "balance_static")
+
+
 @query(
     "topk_overlap",
     f"""

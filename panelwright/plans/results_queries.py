@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import registry, summary
 from panelwright.operators.evaluate import CAPACITY_SHARES
+from panelwright.operators.prefix import running_totals
 from panelwright.plans.catalog import query
 
 METRICS = list(dict.fromkeys([*summary.OLDER_METRICS, *summary.NEWER_METRICS]))
@@ -230,6 +231,17 @@ def best_models_recall(t):
     return _best(t, "recall_ratio", MONTHS[:6], distinct_months=True)
 
 
+@query(
+    "models_by_mean",
+    f"with best as ({_best_sql('precision_ratio', 'count(*)')}) select cast(row_number() over (order by precision_ratio_mean desc, model_and_hyp) as integer) as place, model_and_hyp from (select distinct model_and_hyp, precision_ratio_mean from best)",
+)
+def models_by_mean(t):
+    """Place of each model and parameter set, best mean first."""
+    ordered = summary.ordered_by_mean(_best(t, "precision_ratio", MONTHS).select("model_and_hyp", "precision_ratio_mean").distinct())
+    numbered = running_totals(ordered, [], [F.desc("precision_ratio_mean"), F.col("model_and_hyp")], row_number="place")
+    return numbered.select(F.col("place").cast("int").alias("place"), "model_and_hyp")
+
+
 # --- registry ---------------------------------------------------------------------------------------
 
 

@@ -88,6 +88,15 @@ def build_if_absent(t):
     return store.build_table(t.spark, name, lambda: counts.where(F.lit(False)))
 
 
+@query("sorted_write", "select o_orderkey, o_custkey, o_totalprice, cast(o_orderdate as date) as day from orders")
+def sorted_write(t):
+    """Rows written in the order of the customer within each file, and read back."""
+    name = _folder(t, "sorted")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("day"))
+    store.write_table(rows, name, sort_by=["o_custkey", "day"])
+    return store.read_table(t.spark, name)
+
+
 @query("csv_restore", "select * from orders")
 def csv_restore(t):
     """A CSV backup of a whole table, with its times, read back with a stated schema."""

@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     # Rows already hashed by entity may join on (entity, month) without a new exchange.
     # Entities hold at most one row per month by then, so this adds no skew.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # The paged source applies filters to a page before its rows leave the reader.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

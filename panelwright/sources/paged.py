@@ -5,12 +5,35 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import DateType, DecimalType, TimestampNTZType, TimestampType
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
+from pyspark.sql.types import (
+    BooleanType,
+    ByteType,
+    DateType,
+    DecimalType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from panelwright.functions.scalars import resource_id
 
@@ -78,10 +101,10 @@ def read_pages(spark: SparkSession, folder: str, schema) -> DataFrame:
 class PagedJson(DataSource):
     """``spark.read.format("paged_json")``: page files page_<offset>.json (rows as JSON lines), several per task.
 
-    Options: path (a folder mounted on the driver and every executor), pages_per_task. All pages that the folder holds are read, whatever
-    bound they were fetched under; a folder or page that cannot be opened is an error. Rows come as Arrow batches in the types of
-    the schema; a time without a zone is UTC. Executors need this package on their Python path. For pages in a layout that Spark reads,
-    read_pages stays inside the JVM and is faster.
+    Options: path (a folder mounted on the driver and every executor), pages_per_task. All pages (*.json) that the folder holds are read, whatever
+    bound they were fetched under; a folder or page that cannot be opened, in TRIES tries, is an error. Rows come as one Arrow batch a page in the types of
+    the schema; a time without a zone is UTC. Comparisons of numbers, texts and flags with constants are applied to each page before its rows leave the
+    reader. Executors need this package on their Python path. For pages in a layout that Spark reads, read_pages stays inside the JVM and is faster.
     """
 
     @classmethod
@@ -92,8 +115,17 @@ class PagedJson(DataSource):
         return _PageReader(self.options, schema)
 
 
-PAGE_FILE = re.compile(r"page_(\d+)\.json")
+PAGE_FILE = re.compile(r"(?:page_(\d+)|[^_.].*)\.json")
 TEXT_FIRST = (TimestampNTZType, DateType, DecimalType)
+PLAIN = (BooleanType, ByteType, ShortType, IntegerType, LongType, StringType)
+TRIES, WAIT = 3, 0.5
+COMPARED = {EqualTo: "equal", GreaterThan: "greater", GreaterThanOrEqual: "greater_equal", LessThan: "less", LessThanOrEqual: "less_equal"}
+
+
+def read_paged_json(spark: SparkSession, folder: str, schema, pages_per_task: int = 16) -> DataFrame:
+    """The pages of a mounted folder through the paged_json source, with filters pushed into its reader."""
+    spark.dataSource.register(PagedJson)
+    return spark.read.format("paged_json").schema(schema).option("path", folder.removeprefix("file:")).option("pages_per_task", pages_per_task).load()
 
 
 class _Pages(InputPartition):
@@ -106,9 +138,47 @@ class _PageReader(DataSourceReader):
         self.folder = options["path"]
         self.per_task = int(options.get("pages_per_task", 16))
         self.schema = schema
+        self.kept: list = []
+
+    def pushFilters(self, filters):
+        """Comparisons with constants stay here; all others go back to Spark."""
+        plain = {f.name for f in self.schema.fields if isinstance(f.dataType, PLAIN)}
+        for f in filters:
+            known = isinstance(f, (IsNotNull, In, *COMPARED)) and len(f.attribute) == 1 and f.attribute[0] in plain
+            if known:
+                self.kept.append(f)
+            else:
+                yield f
+
+    def _filtered(self, batch):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for f in self.kept:
+            column = batch.column(f.attribute[0])
+            if isinstance(f, IsNotNull):
+                keep = pc.is_valid(column)
+            elif isinstance(f, In):
+                keep = pc.and_(pc.is_in(column, pa.array([v for v in f.value if v is not None], column.type)), pc.is_valid(column))
+            else:
+                keep = getattr(pc, COMPARED[type(f)])(column, pa.scalar(f.value, column.type))
+            batch = batch.filter(keep)
+        return batch
+
+    def _rows(self, name: str) -> list[dict]:
+        for left in range(TRIES - 1, -1, -1):
+            try:
+                with open(os.path.join(self.folder, name)) as lines:
+                    return [json.loads(line) for line in lines if line.strip()]
+            except FileNotFoundError:
+                raise
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(WAIT)
 
     def partitions(self):
-        found = sorted((int(m[1]), m[0]) for m in map(PAGE_FILE.fullmatch, os.listdir(self.folder)) if m)
+        found = sorted((int(m[1] or 0), m[0]) for m in map(PAGE_FILE.fullmatch, os.listdir(self.folder)) if m)
         files = [name for _, name in found]
         return [_Pages(files[i : i + self.per_task]) for i in range(0, len(files), self.per_task)] or [_Pages([])]
 
@@ -118,8 +188,7 @@ class _PageReader(DataSourceReader):
 
         types = to_arrow_schema(self.schema)
         for name in partition.files:
-            with open(os.path.join(self.folder, name)) as lines:
-                rows = [json.loads(line) for line in lines if line.strip()]
+            rows = self._rows(name)
             columns = []
             for field, kind in zip(self.schema.fields, types):
                 values = [row.get(field.name) for row in rows]
@@ -132,4 +201,4 @@ class _PageReader(DataSourceReader):
                     columns.append(pa.array(texts, pa.string()).cast(kind.type))
                 else:
                     columns.append(pa.array(values, kind.type))
-            yield pa.RecordBatch.from_arrays(columns, schema=types)
+            yield self._filtered(pa.RecordBatch.from_arrays(columns, schema=types))

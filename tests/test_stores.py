@@ -7,6 +7,8 @@ from datetime import date, datetime
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
+from pyspark.sql.types import StructType
 
 from conftest import rows
 from panelwright.operators import columns, kernel, models, names, registry, summary
@@ -99,6 +101,32 @@ def test_paged_source(spark, tmp_path):
     assert [r.offset for r in paged.page_offsets(spark, 25_000).collect()] == [0, 10_000, 20_000]
 
 
+def test_filters_reach_the_pages(spark, tmp_path, monkeypatch):
+    """Comparisons with constants are taken by the reader, all others go back; a page that fails to open twice is read at the third try."""
+    schema = StructType().add("id", "long").add("name", "string").add("x", "double")
+    for offset in (0, 50):
+        with open(f"{tmp_path}/page_{offset}.json", "w") as page:
+            page.writelines(json.dumps({"id": offset + i, "name": f"n{i}" if i % 5 else None, "x": i / 2}) + "\n" for i in range(50))
+    df = paged.read_paged_json(spark, str(tmp_path), schema, pages_per_task=1)
+    kept = df.where("id >= 20 and id < 70 and name in ('n1', 'n2', 'n30') and x > 0.6")
+    assert rows(kept.select("id", "name")) == [("30", "n30"), ("52", "n2")]
+    reader = paged._PageReader({"path": str(tmp_path)}, schema)
+    given = [GreaterThan(("id",), 90), IsNotNull(("name",)), GreaterThan(("x",), 1.0), EqualTo(("name", "part"), "n")]
+    assert list(reader.pushFilters(given)) == given[2:]
+    tries = []
+
+    def fails_twice(*args):
+        tries.append(args)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return open(*args)
+
+    monkeypatch.setattr(paged, "open", fails_twice, raising=False)
+    monkeypatch.setattr(paged, "WAIT", 0)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(tries) == 4 and sorted(v for b in batches for v in b.column("id").to_pylist()) == [91, 92, 93, 94, 96, 97, 98, 99]
+
+
 def test_source_catalog(spark, tmp_path):
     path = f"{tmp_path}/list.csv"
     with open(path, "w") as f:
