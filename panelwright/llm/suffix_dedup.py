@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stored, text_or_empty
+from panelwright.llm.common import stored, text_or_empty, unused
 from panelwright.llm.suffix_groups import suffix_array
 
 LENGTH = 50
@@ -164,7 +164,7 @@ def _unpack48(raw: bytes):
 
 
 def _entries(parts: int):
-    """Packed (anchor, context, document) entries by part, one per context and batch, of its smallest document; part -1 holds what the batch
+    """Packed (anchor, context, document) entries by part, one per context, batch and text of its smallest id; part -1 holds what the batch
     itself shows: contexts of documents that are not its smallest."""
 
     def flush(held, seen):
@@ -172,14 +172,16 @@ def _entries(parts: int):
         doc, anchor, context = (np.concatenate(x) for x in zip(*held))
         all_ids, all_tags = (np.concatenate(x) for x in zip(*seen))
         ids = all_ids[doc]
-        order = np.lexsort((ids, context, anchor))
+        order = np.lexsort((doc, ids, context, anchor))
         doc, ids, anchor, context = doc[order], ids[order], anchor[order], context[order]
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])]
         least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         over = ids > least
         rows = _by_document(ids[over], all_tags[doc[over]], np.zeros(over.sum(), dtype=np.int64), _key(anchor[over], context[over]))
         out = [(-1, *_document(i, t), k, b"") for i, t, _, k in rows]
-        doc, anchor, context = doc[new], anchor[new], context[new]
+        # Other texts of the smallest id are sent on too: a smaller id may be in another batch.
+        sent = ~over & (new | np.r_[True, doc[1:] != doc[:-1]])
+        doc, anchor, context = doc[sent], anchor[sent], context[sent]
         part = _part_of(anchor, parts)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
@@ -541,13 +543,17 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeated passages cut out of their texts; characters that are removed in part stay. A null text stays null."""
+    """The documents with repeated passages cut out of their texts, with all their columns; characters that are removed in part stay.
+
+    A null text stays null, a text that loses all becomes empty, repeated rows stay each. Rows of equal id, or without one, are treated as in find_repeats.
+    """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns = documents.columns
     others = [c for c in columns if c != text_col]
-    joined = _joined(documents.withColumn("_null", F.col(text_col).isNull()), id_col, text_col, [*others, "_null"])
+    null = unused(documents, "_null")
+    joined = _joined(documents.withColumn(null, F.col(text_col).isNull()), id_col, text_col, [*others, null])
     schema = T.StructType([*joined.schema[: len(others) + 1], T.StructField("_cut", T.StringType())])
     cut = joined.mapInArrow(_cut(True, to_arrow_schema(schema)), schema)
     text = F.when(~F.col(f"_keep_{len(others)}"), F.col("_cut")).alias(text_col)
