@@ -5,7 +5,7 @@ side, are the automaton's patterns. One scan over a normalised text finds all oc
 drops separators, so a hit's words lead back to byte offsets of the original text.
 
 Items are broadcast. Their size is checked: beyond BLOCK_BYTES of windows they are cut into blocks with one automaton and one pass over the stored
-hits so far each, so that any number of items works.
+hits so far each, so that any number of items works, and an item of any length: its windows may lie in several blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from panelwright.llm.common import stored, text_or_empty
 
 WINDOW = 10
-BLOCK_BYTES = 32_000_000
+#: A byte of a window is a node of the automaton, some 50 bytes of memory, where windows share no beginning.
+BLOCK_BYTES = 4_000_000
 
 #: Byte to byte: A-Z to a-z; digits, a-z and all bytes from 0x80 stay; the rest become spaces.
 TABLE = bytes(
@@ -44,18 +45,31 @@ def windows_of(words: list[bytes], size: int) -> set[bytes]:
     return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(len(words) - size + 1)}
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """Blocks of (item, normalised words) of at most block_bytes of text each (or one item), read partition by partition."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), text_or_empty(text_col).alias("t")).where("i is not null")
+def item_pieces(words: list[bytes], size: int, most: int):
+    """(bytes of its windows, words) of an item, in pieces whose windows have about ``most`` bytes; together they have the item's windows."""
+    first = 0
+    while first < len(words):
+        weight, windows = 0, 0
+        while windows == 0 or (weight < most and first + windows + size <= len(words)):
+            weight += sum(map(len, words[first + windows : first + windows + size])) + size + 1
+            windows += 1
+        yield weight, words[first : first + windows + size - 1]
+        first += windows
+        if first + size > len(words):
+            return
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int):
+    """Blocks of (item, normalised words) whose windows have about block_bytes each, read partition by partition. An item without an id has None."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), text_or_empty(text_col).alias("t"))
     block, used = [], 0
     for row in rows.toLocalIterator(prefetchPartitions=True):
-        words = words_of(row["t"])
-        weight = sum(map(len, words)) + len(words)
-        if used and used + weight > block_bytes:
-            yield block
-            block, used = [], 0
-        block.append((row["i"], b" ".join(words)))
-        used += weight
+        for weight, words in item_pieces(words_of(row["t"]), window, block_bytes):
+            if used and used + weight > block_bytes:
+                yield block
+                block, used = [], 0
+            block.append((row["i"], b" ".join(words)))
+            used += weight
     yield block
 
 
@@ -70,7 +84,9 @@ def _automaton(key: str, block, size: int):
         owners: dict[bytes, list[str]] = {}
         for item, words in block.value:
             for window in windows_of(words.split(), size):
-                owners.setdefault(window, []).append(item)
+                named = owners.setdefault(window, [])
+                if item is not None:
+                    named.append(item)
         machine = ahocorasick.Automaton()
         for pattern, items in owners.items():
             machine.add_word(pattern.decode("latin-1"), (pattern.count(b" ") - 1, items))
@@ -151,7 +167,7 @@ def _scanned(df: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
     ranges = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     made = [T.StructField("n_words", T.LongType()), T.StructField("hits", ranges), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", ranges)]
     kept = [f for f in df.schema if f.name != "_text"]
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    blocks = item_blocks(benchmark, item_col, item_text_col, window, block_bytes)
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
@@ -177,8 +193,8 @@ def find_benchmark(
 ) -> DataFrame:
     """A row per document: id, n_words, hits (word ranges), items found, spans (byte ranges of the hits in the original).
 
-    A null text has no words; items that are null, empty or without words, or whose id is null, match nothing; items with the same window are
-    all found. Repeated rows and null document ids are scanned like any other row. Columns other than those named are not looked at.
+    A null text has no words; items that are null, empty or without words match nothing; the windows of an item whose id is null hit, and name no item;
+    items with the same window are all found. Repeated rows and null document ids are scanned like any other row. Columns other than those named are not looked at.
     """
     df = documents.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     return _scanned(df, benchmark, item_col, item_text_col, window, block_bytes).withColumnRenamed("_id", id_col)
@@ -205,7 +221,10 @@ def drop_contaminated(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The documents without any hit, with all their columns, in one pass and without a shuffle."""
+    """The documents without any hit, with all their columns, in one pass and without a shuffle.
+
+    Null and empty texts have no hit; repeated rows are judged each; items without an id count like others. No items, no hits.
+    """
     names = documents.columns
     df = documents.select(*[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(names)], text_or_empty(text_col).alias("_text"))
     found = _scanned(df, benchmark, item_col, item_text_col, window, block_bytes)
@@ -217,7 +236,7 @@ SQL = f"""
 with low as (select row_number() over () r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 doc as (select r, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from low),
 item as (select item_id::varchar i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark where item_id is not null),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark),
 pattern as (
   select distinct i, n, array_to_string(w[p:p + n - 1], ' ') s
   from (select i, w, least(len(w), {WINDOW}) n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) p from item where len(w) > 0)),
@@ -225,7 +244,7 @@ size as (select distinct n from pattern),
 win as (select r, n, p, array_to_string(w[p:p + n - 1], ' ') s from (select r, w, n, unnest(range(1, len(w) - n + 2)) p from doc, size where len(w) >= n)),
 hit as (select r, win.n, p, i from win join pattern on win.n = pattern.n and win.s = pattern.s),
 word as (select r, count(distinct q) c from (select r, unnest(range(p, p + n)) q from hit) group by r),
-found as (select r, count(*) c, string_agg(i, ',' order by i) l from (select distinct r, i from hit) group by r)
+found as (select r, count(*) c, string_agg(i, ',' order by i) l from (select distinct r, i from hit where i is not null) group by r)
 select doc_id, len(w)::bigint n_words, coalesce(word.c, 0)::bigint n_hit, coalesce(found.c, 0)::bigint n_items,
   sha256(coalesce(l, '')) items_sha256, word.c is not null contaminated
 from doc left join word using (r) left join found using (r)
