@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stored, text_or_empty
+from panelwright.llm.common import stored, text_or_empty, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -203,10 +203,14 @@ def judge_quality(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """The documents that judge_quality keeps, filtered in place: texts are read and measured twice and never shuffled."""
-    measured = documents.select(measures(text_or_empty(text_col)).alias("_m"))
-    p = fitted(measured, rounds=rounds)
-    return documents.where(let(measures(text_or_empty(text_col)), lambda m: judged(m, p)[1]))
+    """The documents that judge_quality keeps, with all their columns. Texts are measured once, stored beside their measures, and never shuffled.
+
+    A null text counts as empty and goes; repeated rows and null ids are judged like any other row. No documents, no rows.
+    """
+    m = unused(documents, "_m")
+    measured = stored(documents.withColumn(m, measures(text_or_empty(text_col))), "measured")
+    p = fitted(measured, m, rounds)
+    return measured.where(judged(F.col(m), p)[1]).select(*documents.columns)
 
 
 # --- the same in DuckDB SQL ---------------------------------------------------------------------
