@@ -9,6 +9,7 @@ import pytest
 
 from conftest import SMALL
 from panelwright.llm.queries import CHECK_SQL, QUERIES
+from .test_near_copies import homes
 from tools.check_queries import compare, connect
 
 NATIVE = ["op2_url_filters", "op6_quality_rules", "op9_license_scans"]
@@ -188,7 +189,7 @@ def test_pipeline_stage_by_stage(spark):
             kept = con.sql(f"with {quality.sql()} select doc_id from verdict where kept").fetchall()
             assert set(after) == {r[0] for r in kept} and 0 < len(after) < len(before)
         elif name == "simhash_near_dedup":
-            assert set(after) == set(linked({d: fingerprint(t) for d, t in before.items()}).values())
+            assert set(after) == set(homes(before).values())
         elif name == "suffix_array_dedup":
             want = removed_by_brute_force(dict(sorted(before.items())))
             assert set(after) == set(before)
