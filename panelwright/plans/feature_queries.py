@@ -450,9 +450,9 @@ def split_levels(t):
 @query(
     "many_quantiles",
     """
-select l_returnflag, round(quantile_cont(l_extendedprice, 0.0), 2) as q0, round(quantile_cont(l_extendedprice, 0.1), 2) as q10,
-       round(quantile_cont(l_extendedprice, 0.25), 2) as q25, round(median(l_extendedprice), 2) as q50,
-       round(quantile_cont(l_extendedprice, 0.95), 2) as q95, round(quantile_cont(l_extendedprice, 1.0), 2) as q100
+select l_returnflag, round(quantile_cont(l_extendedprice, 0.0), 6) as q0, round(quantile_cont(l_extendedprice, 0.1), 6) as q10,
+       round(quantile_cont(l_extendedprice, 0.25), 6) as q25, round(median(l_extendedprice), 6) as q50,
+       round(quantile_cont(l_extendedprice, 0.95), 6) as q95, round(quantile_cont(l_extendedprice, 1.0), 6) as q100
 from lineitem group by 1
 """,
 )
@@ -460,4 +460,4 @@ def many_quantiles(t):
     """Six quantiles from one set of running counts."""
     shares = {f"q{round(q * 100)}": q for q in (0.0, 0.1, 0.25, 0.5, 0.95, 1.0)}
     found = order_stats.quantiles(order_stats.value_counts(t.lineitem, ["l_returnflag"], ["l_extendedprice"]), ["l_returnflag"], shares)
-    return found.select("l_returnflag", *[F.round(c, 2).alias(c) for c in shares])
+    return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in shares])

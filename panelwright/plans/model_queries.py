@@ -209,7 +209,7 @@ def paged_ingest(t):
 
 @query(
     "paged_source",
-    "select event_id, user_id, ts, event_type, value from events where user_id >= 50 and event_type in ('click', 'view', 'purchase') and value > 1",
+    "select event_id, user_id, ts, event_type, value from events where user_id >= 3 and event_type in ('click', 'view', 'purchase') and value > 1",
 )
 def paged_source(t):
     """Pages read through the paged source, which applies the comparisons of whole numbers and texts itself and leaves those of fractions to Spark."""
@@ -217,7 +217,7 @@ def paged_source(t):
     rows = t.events.select("event_id", "user_id", "ts", "event_type", "value")
     paged.write_pages(rows, folder, 1_000)
     pages = paged.read_paged_json(t.spark, folder, rows.schema)
-    return pages.where((F.col("user_id") >= 50) & F.col("event_type").isin("click", "view", "purchase") & (F.col("value") > 1))
+    return pages.where((F.col("user_id") >= 3) & F.col("event_type").isin("click", "view", "purchase") & (F.col("value") > 1))
 
 
 @query(
