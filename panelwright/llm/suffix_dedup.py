@@ -7,8 +7,9 @@ windows that chose it are its context, 50 to 76 bytes.
 1. Tasks hash anchors and contexts, keep one entry per context and batch with its smallest document, and send packed entries to
    the part of their anchor. There, a context that a smaller document holds too is covered as a whole; an anchor with several
    contexts needs a closer look at the first document of each.
-2. Those documents send the bytes of these contexts to the part of the anchor, where a suffix array over all contexts of the part sorts
-   their windows (suffix_groups). Windows with 50 equal bytes are neighbours in it; each group's smallest document decides.
+2. Those documents send the bytes of these contexts to the part of the anchor. Windows whose hash no other document has there are left
+   out; a suffix array over all contexts of the part sorts the rest (suffix_groups). Windows with 50 equal bytes are neighbours in it;
+   each group's smallest document decides.
 3. Covered windows return to their documents, whose bytes are cut in one pass.
 
 Texts are shuffled twice, entries once; only contexts that differ are sorted. All packed columns are arrays of fixed-width numbers. An anchor with
@@ -33,7 +34,7 @@ SLICE_BYTES = 1_000_000
 BATCH_ENTRIES = 1_000_000
 PART_BYTES = 24_000_000
 HOT_CONTEXTS = 20_000
-SORT_SYMBOLS = 400_000
+SORT_SYMBOLS = 200_000
 
 COVERED, CLOSER, HOT = 0, 1, 2
 
@@ -377,18 +378,13 @@ def _sort_contexts(table: pa.Table) -> pa.Table:
     docs, numbers, data = np.concatenate(docs), np.concatenate(numbers), np.frombuffer(b"".join(raw), dtype=np.uint8)
     numbers = numbers[np.argsort(numbers[:, 0], kind="stable")]
     found_ids, found_tags, found = [], [], []
-    at = 0
-    while at < len(numbers):
-        # Whole anchors up to a number of symbols; windows of different anchors never match.
-        end = at + int(np.searchsorted(np.cumsum(numbers[at:, 2]), SORT_SYMBOLS)) + 1
-        while end < len(numbers) and numbers[end, 0] == numbers[end - 1, 0]:
-            end += 1
-        rows = numbers[at:end]
-        at = end
-        doc, window = _covered_windows(rows, data, docs[:, 0])
-        found_ids.append(docs[doc, 0])
-        found_tags.append(docs[doc, 1])
-        found.append(window)
+    for rows in _whole_anchors(numbers, SORT_SYMBOLS):
+        rows = _shared(rows, data, docs[:, 0])
+        if len(rows):
+            doc, window = _covered_windows(rows, data, docs[:, 0])
+            found_ids.append(docs[doc, 0])
+            found_tags.append(docs[doc, 1])
+            found.append(window)
     out = []
     if found:
         ids, tags, windows = (np.concatenate(x) for x in (found_ids, found_tags, found))
@@ -396,6 +392,49 @@ def _sort_contexts(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 3, SPANS_ARROW)], schema=SPANS_ARROW)
 
 
+def _whole_anchors(numbers, size: int):
+    """Rows of whole anchors, up to about `size` bytes of contexts at a time; windows of different anchors never match."""
+    np = _numpy()
+    upto = np.cumsum(numbers[:, 2])
+    heads = np.r_[np.flatnonzero(np.r_[True, numbers[1:, 0] != numbers[:-1, 0]]), len(numbers)]
+    at = 0
+    while at < len(numbers):
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size)) + 1
+        end = int(heads[min(np.searchsorted(heads, end), len(heads) - 1)])
+        yield numbers[at:end]
+        at = end
+
+
+def _shared(rows, data, ids):
+    """Contexts cut down to the windows that may be in two documents, by hash; contexts without any go.
+
+    Equal windows have equal hashes, so nothing is lost; whether windows of equal hash are equal is for the suffix array to say.
+    """
+    np = _numpy()
+    sizes, windows = rows[:, 2], rows[:, 2] - LENGTH + 1
+    begin = np.cumsum(sizes) - sizes
+    joined = data[np.repeat(rows[:, 5] - begin, sizes) + np.arange(sizes.sum())]
+    each = np.repeat(np.arange(len(rows)), windows)
+    offset = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
+    with np.errstate(over="ignore"):
+        name = _key(rows[each, 0].astype(np.uint64), _blocks(joined)[1][begin[each] + offset])
+    owner = ids[rows[each, 4]]
+    order = np.argsort(name)
+    head = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
+    several = np.minimum.reduceat(owner[order], head) < np.maximum.reduceat(owner[order], head)
+    kept = np.sort(order[np.repeat(several, np.diff(np.r_[head, len(order)]))])
+    if not len(kept):
+        return rows[:0]
+    new = np.flatnonzero(np.r_[True, each[kept][1:] != each[kept][:-1]])
+    low, high = offset[kept[new]], offset[kept[np.r_[new[1:], len(kept)] - 1]]
+    cut = rows[each[kept[new]]].copy()
+    cut[:, 1] += low
+    cut[:, 2] = high - low + LENGTH
+    cut[:, 3] -= np.minimum(low, cut[:, 3])
+    cut[:, 5] += low
+    return cut
+
+
 def _covered_windows(rows, data, ids):
     """(document, window position) of windows that a smaller document among the contexts holds.
 
