@@ -30,7 +30,7 @@ from panelwright.llm.suffix_groups import suffix_array
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams per window
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 200_000
 BATCH_ENTRIES = 1_000_000
 PART_BYTES = 24_000_000
 HOT_CONTEXTS = 20_000
@@ -173,7 +173,13 @@ def _entries(parts: int):
         doc, anchor, context = (np.concatenate(x) for x in zip(*held))
         all_ids, all_tags = (np.concatenate(x) for x in zip(*seen))
         ids = all_ids[doc]
-        order = np.lexsort((doc, ids, context, anchor))
+        # Equal contexts have equal keys; only those that occur again are put in the order of their documents.
+        key = _key(anchor, context)
+        order = np.argsort(key)
+        again = key[order][1:] == key[order][:-1]
+        again = np.flatnonzero(np.r_[False, again] | np.r_[again, False])
+        own = order[again]
+        order[again] = own[np.lexsort((doc[own], ids[own], context[own], anchor[own], key[own]))]
         doc, ids, anchor, context = doc[order], ids[order], anchor[order], context[order]
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])]
         least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
