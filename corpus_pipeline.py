@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies: five-word shingles, similarity 0.8. The name is op10's; its two bits are not used here."""
+    """The document of smallest id of each group of near copies: SimHash links of five-word shingles within two bits, then min-hash bands for what lies further apart, all verified at similarity 0.8."""
     tune(spark)
     return near_copies.keep_one(docs)
 

@@ -1,6 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash links and exact Jaccard similarity of word shingles.
 
-Candidates share all four min-hashes of one of 28 bands: two texts of similarity s share none with a chance of (1 - s^4)^28, 4e-7 at 0.8 and less above;
+Each text has a SimHash of its distinct shingles. Fingerprints within two bits are found as in `simhash`: segment popcounts, range-joined on grid vertices,
+and midpoints; their links are verified on the whole shingle sets, and what they join is not compared again. At 64 bits the grid
+can't reach further: texts of similarity 0.8 differ in ten bits on average and in up to 17, at which distance its points prune nothing. So min-hash bands look
+for links between different components of SimHash links, and lose none that the bands alone would find.
+
+Candidates of the bands share all four min-hashes of one of 28 bands: two texts of similarity s share none with a chance of (1 - s^4)^28, 4e-7 at 0.8 and less above;
 texts with only a common passage hardly ever do. Every link is verified on the whole shingle sets; texts of equal sets stand as one.
 
 A bucket's members are first held against its leader, the member that meets most others over all its buckets: of a text and its edits that is the
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import stored, text_or_empty, unused
 from panelwright.llm.graph import components
-from panelwright.llm.simhash import shingle_hashes
+from panelwright.llm.simhash import fingerprints, links, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -61,13 +66,17 @@ def bands_of(hashes, factors, rows: int = ROWS):
 
 
 def _banded(words: int, bands: int, rows: int):
-    """(node, numbers of its bands) of each text."""
+    """(node, fp, numbers of its bands) of each text; fp is the SimHash of its distinct shingles."""
 
     def run(batches):
         factors = _factors(bands, rows)
         for batch in batches:
-            found = [bands_of(hashes_of(text.as_py(), words), factors, rows) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["node", "numbers"])
+            found, prints = [], []
+            for text in batch.column(1):
+                hashes = hashes_of(text.as_py(), words)
+                found.append(bands_of(hashes, factors, rows))
+                prints.append(int(fingerprints(hashes, [len(hashes)])[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), _lists(found)], names=["node", "fp", "numbers"])
 
     return run
 
@@ -156,22 +165,42 @@ def _by_differences(groups: DataFrame, sets: DataFrame, similarity: float) -> Da
     return met.select(*_ordered(F.col("p.node"), F.col("q.node"))).distinct()
 
 
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """prints (node, fp) -> pairs (a, b): nodes of one fingerprint with the smallest of them, and the smallest ones of fingerprints that `simhash.links` ties."""
+    first = stored(prints.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    same = prints.join(first.where("n > 1"), "fp").where("node <> least").select(*_ordered("node", "least"))
+    one, other = first.select(F.col("fp").alias("a"), F.col("least").alias("p")), first.select(F.col("fp").alias("b"), F.col("least").alias("q"))
+    across = links(first.select("fp")).join(one, "a").join(other, "b").select(*_ordered("p", "q"))
+    return stored(same.union(across), "near-fingerprints")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that roots (node, root) do not join yet."""
+    its = pairs.join(roots.toDF("a", "_of_a"), "a", "left").join(roots.toDF("b", "_of_b"), "b", "left")
+    return its.where(F.coalesce("_of_a", "a") != F.coalesce("_of_b", "b")).select("a", "b")
+
+
 def linked(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """texts (node, text), equal texts with equal nodes -> (node, root) of every node that is linked to a smaller one."""
-    drawn = texts.select("node", "text").mapInArrow(_banded(words, BANDS, ROWS), "node binary, numbers array<bigint>")
-    drawn = stored(drawn.select("node", F.explode("numbers").alias("key")).distinct(), "bands")
+    each = texts.select("node", "text").mapInArrow(_banded(words, BANDS, ROWS), "node binary, fp bigint, numbers array<bigint>")
+    each = stored(each.dropDuplicates(["node"]), "fingerprints-and-bands")
+    close = _near_prints(each.select("node", "fp"))
+    drawn = stored(each.select("node", F.explode(F.array_distinct("numbers")).alias("key")), "bands")
     shared = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stored(drawn.join(shared, "key", "left_semi").select("key", "node"), "members")
-    chosen = texts.dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "left_semi").select("node", "text")
+    met = members.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    chosen = texts.dropDuplicates(["node"]).join(met, "node", "left_semi").select("node", "text")
     sets = stored(chosen.mapInArrow(_shingled(words), "node binary, numbers array<bigint>, digest binary"), "shingle-sets")
     first = sets.groupBy("digest").agg(F.min("node").alias("stands"))
     alike = stored(sets.select("node", "digest").join(first, "digest").where("node <> stands").select(F.col("node").alias("a"), F.col("stands").alias("b")), "alike")
-    edges = alike
+    edges = stored(alike.union(_verified(close, sets, similarity)), "near-pairs")
+    roots = components(edges)
     if not alike.isEmpty():
         members = members.join(alike.select(F.col("a").alias("node")), "node", "left_anti")
     while True:
         led = _led(members)
-        edges = stored(edges.union(_verified(led.where("node <> least").select(*_ordered("node", "least")).distinct(), sets, similarity)), "near-pairs")
+        fresh = _apart(led.where("node <> least").select(*_ordered("node", "least")).distinct(), roots)
+        edges = stored(edges.union(_verified(stored(fresh, "led-pairs"), sets, similarity)), "near-pairs")
         roots = components(edges)
         top = roots.select(F.col("node").alias("least"), F.col("root").alias("top"))
         named = led.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(top, "least", "left")

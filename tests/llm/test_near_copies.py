@@ -106,3 +106,37 @@ def test_edits_apart_from_each_other_make_few_pairs(spark, monkeypatch):
     want = homes(dict(enumerate(texts)))
     assert {r.doc_id for r in near_copies.keep_one(df).collect()} == set(want.values())
     assert sum(checked) < near_copies.BANDS * len(texts)
+
+
+def test_simhash_links_are_made_first(spark, monkeypatch):
+    """Texts whose SimHashes are within two bits are verified first, and what they join is not compared again; texts further apart are linked all the same."""
+    from hashlib import md5
+
+    random.seed(8)
+    texts = []
+    for n in (300, 500):
+        base = [f"b{random.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(base)] + [" ".join(base[:-k]) for k in (1, 2, 3)] + [" ".join(edited(base, 1)) for _ in range(8)] + [" ".join(edited(base, n // 60)) for _ in range(8)]
+    node = {md5(t.encode()).digest(): t for t in texts}
+    prints = {k: int(near_copies.fingerprints(h := near_copies.hashes_of(t, 5), [len(h)])[0]) & (1 << 64) - 1 for k, t in node.items()}
+    near = {(a, b) for a in prints for b in prints if a > b and (prints[a] ^ prints[b]).bit_count() <= 2}
+    verified, calls = near_copies._verified, []
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: calls.append({(bytes(r.a), bytes(r.b)) for r in pairs.collect()}) or verified(pairs, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = homes(dict(enumerate(texts)))
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == set(want.values())
+    joined = homes_of(near)
+    assert calls[0] and homes_of(calls[0]) == joined
+    assert any(calls[1:]) and not [p for later in calls[1:] for p in later if joined.get(p[0], p[0]) == joined.get(p[1], p[1])]
+
+
+def homes_of(pairs):
+    home = {x: x for p in pairs for x in p}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            low = min(home[a], home[b])
+            moved |= (home[a], home[b]) != (low, low)
+            home[a] = home[b] = low
+    return home
