@@ -25,14 +25,14 @@ FEATURES = [
 ]
 
 
-def _panel(t):
-    """Stored once: fitting reads it many times."""
-    return durable(label_panel(t))
+def _panel(t, months):
+    """The rows the split reads, stored once: fitting reads them many times."""
+    return durable(monthly_run.split_rows(label_panel(t), SPLIT, FEATURES, LABEL, months))
 
 
 def _run(t, algorithm, parameters):
     return monthly_run.run_split(
-        _panel(t), SPLIT, FEATURES, LABEL, 1, algorithm, parameters, top_k=500, boroughs=["all"], months=3
+        _panel(t, 3), SPLIT, FEATURES, LABEL, 1, algorithm, parameters, top_k=500, boroughs=["all"], months=3
     )
 
 

@@ -50,6 +50,25 @@ def prepared(train: DataFrame, test: DataFrame, features: Sequence[str], binary:
     return scale.minmax_scale(parts[0], bounds), scale.minmax_scale(parts[1], bounds)
 
 
+def split_rows(
+    panel: DataFrame,
+    split,
+    features: Sequence[str],
+    label: str,
+    months: int = 1,
+    units: str = "internal_units_static",
+    target: str = "internal_peu_target_zip",
+) -> DataFrame:
+    """What a split reads of a panel, in one pass: the labelled months before it, its test months in target areas, and the columns used.
+
+    Most months of an entity have no label, so storing these rows is far less than storing the panel.
+    """
+    month, first = F.col("month_start"), F.lit(str(split)).cast("date")
+    train = (month < first) & F.col(label).isNotNull()
+    test = (month >= first) & (month < F.add_months(first, months)) & (F.col(target) == 1)
+    return panel.where(train | test).select(*dict.fromkeys(["address_id", "month_start", impute.BOROUGH, units, label, target, *features]))
+
+
 def prepared_split(
     panel: DataFrame,
     split,

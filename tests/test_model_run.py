@@ -164,3 +164,18 @@ def test_levels_as_vectors(spark):
     got = encode.level_vector(df, places, ["f", "g"]).orderBy("address_id").collect()
     assert [r.levels.indices.tolist() for r in got] == [[0, 3], [2], [1, 3]] and got[0].levels.size == 4
     assert encode.level_vector(df, [], ["f"]).first().levels.numNonzeros() == 0
+
+
+def test_a_split_stores_only_what_it_reads(spark, tables, monkeypatch):
+    """The stored rows give the train and test rows of the whole panel, and are fewer and narrower than it."""
+    from panelwright.operators import splits
+    from panelwright.plans import model_queries as mq
+    from panelwright.plans.panel_queries import label_panel
+
+    stored = []
+    monkeypatch.setattr(mq, "durable", lambda df: stored.append(df) or df)
+    monkeypatch.setattr(mq.monthly_run, "run_split", lambda panel, *a, **k: panel)
+    got, whole = mq._run(tables, "DecisionTreeClassifier", {}).cache(), label_panel(tables).cache()
+    assert got.count() == stored[0].count() < whole.count() / 3 and len(got.columns) < len(whole.columns) / 2
+    for part in (lambda p: splits.train_rows(p, mq.SPLIT, mq.LABEL), lambda p: splits.test_rows(p, mq.SPLIT, 3)):
+        assert rows(part(got)) == rows(part(whole.select(got.columns))) != []
