@@ -11,8 +11,8 @@ texts with only a common passage hardly ever do. Every link is verified on the w
 A bucket's members are first held against its leader, the member that meets most others over all its buckets: of a text and its edits that is the
 text. Whoever then is in the leader's component is settled with it. Small buckets compare what is open pair by pair. In larger ones the members of a leader are
 compared through their differences from it: two sets are similar if and only if their differences from the leader share enough shingles,
-and where both lie about as far from the leader as the bound, or further, that is nearly all of what both differ in. Differences are sorted from rare shingles to common
-ones, and two of them can share enough only if their beginnings share a shingle (prefix filter). Edits made apart from each other add
+and where both lie about as far from the leader as the bound, or further, that is nearly all of what both differ in. Differences are put in an order with common shingles
+last, and two of them can share enough only if their beginnings share a shingle (prefix filter): only beginnings become rows. Edits made apart from each other add
 shingles of their own, so such a group makes hardly any pairs, whatever its size, and no possible link is left out.
 Open members of a group whose leader settled many or a fair share get a leader of their own in the next round; in other groups they are compared with each other.
 Pairs still grow with the square of a group whose members differ from the leader in the same many shingles and are not linked to it.
@@ -21,7 +21,7 @@ Pairs still grow with the square of a group whose members differ from the leader
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import stored, text_or_empty, unused
@@ -36,6 +36,8 @@ ROWS = 4
 FEW = 16
 #: A leader that settles this share of its group, or so many members, is followed by another one for the rest.
 SETTLED_SHARE, SETTLED = 1 / 8, 64
+#: Shingles of more than this share of a group's differences come last in their order.
+FREQUENT_SHARE = 1 / 32
 #: Bounds are widened by this against rounding; every pair is verified exactly.
 SLACK = 1e-6
 
@@ -132,7 +134,9 @@ def _differences(groups: DataFrame, sets: DataFrame, similarity: float) -> DataF
     Let c = (1 - s) / (1 + s). Sets x and y are similar if and only if |x ^ y| <= c (|x| + |y|). With X and Y their differences from the leader
     and f(x) = |X| - c |x| that is |X & Y| >= (f(x) + f(y)) / 2. A leader's own difference is empty, so f >= -c |leader| for all, and
     f > c |leader| for members that are not linked to it. f(x) and f(y) of similar sets differ by at most 2 c |x| / s, as the shared part is no larger than either difference.
-    Of each difference only the beginning is returned that can hold the first shared shingle, and only shingles that another member has.
+    Of each difference only the beginning is returned that can hold the first shared shingle. Any order that holds for the whole group will do for that:
+    shingles that the leader lacks, those that it has, and last, by their counts, those in which a large share of the members differ from it.
+    So a difference is put in order where it lies, and only its beginning becomes rows.
     """
     c = (1 - similarity) / (1 + similarity)
     own = sets.select("node", F.col("numbers").alias("x"))
@@ -143,12 +147,20 @@ def _differences(groups: DataFrame, sets: DataFrame, similarity: float) -> DataF
     apart = apart.withColumn("n_d", F.size("d")).withColumn("f", F.col("n_d") - c * F.col("size"))
     partner = F.when(F.col("open"), -F.col("far")).otherwise(F.col("far"))  # an open member may meet a settled one; a settled one only open ones
     need = F.ceil((F.col("f") + F.greatest(partner, F.col("f") - 2 * c / similarity * F.col("size"))) / 2 - SLACK)
-    apart = apart.withColumn("reach", F.col("n_d") - F.greatest(F.lit(1), need) + 1).drop("far").where("reach > 0")
-    rows = stored(apart.withColumn("e", F.explode("d")).drop("d"), "differences")
-    common = stored(rows.groupBy("least", "e").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("wanted")).where("n > 1"), "common-differences")
-    by_rarity = Window.partitionBy("least", "node").orderBy("n", "e")
-    placed = rows.join(common, ["least", "e"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("i", F.row_number().over(by_rarity) - 1)
-    return stored(placed.where("i < reach and n > 1 and wanted").drop("n", "wanted", "reach"), "beginnings")
+    apart = apart.withColumn("reach", (F.col("n_d") - F.greatest(F.lit(1), need) + 1).cast("int")).drop("far").where("reach > 0")
+    apart = stored(apart.repartition("node"), "differences")
+    in_order = F.coalesce(F.concat(F.array_except("d", "frequent"), F.array_intersect("frequent", "d")), "d")
+    placed = apart.join(_frequent(apart), "least", "left").withColumn("d", F.slice(in_order, F.lit(1), F.col("reach"))).drop("frequent", "reach")
+    # Dealt by member again, so that no task makes the rows of a whole group.
+    return stored(placed.repartition("node").select(*[x for x in placed.columns if x != "d"], F.posexplode("d").alias("i", "e")), "beginnings")
+
+
+def _frequent(apart: DataFrame) -> DataFrame:
+    """(least, frequent): the shingles of more than FREQUENT_SHARE of a group's differences, by their counts; at most 1 / FREQUENT_SHARE times as many as a member has on average."""
+    members = apart.groupBy("least").agg(F.count(F.lit(1)).alias("members"))
+    counts = apart.select("least", F.explode("d").alias("e")).groupBy("least", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = counts.join(members, "least").where(F.col("n") > FREQUENT_SHARE * F.col("members"))
+    return own.groupBy("least").agg(F.array_sort(F.collect_list(F.struct("n", "e")))["e"].alias("frequent"))
 
 
 def _by_differences(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -140,3 +140,26 @@ def homes_of(pairs):
             moved |= (home[a], home[b]) != (low, low)
             home[a] = home[b] = low
     return home
+
+
+def test_only_beginnings_of_differences_become_rows(spark, monkeypatch):
+    """Members that differ from the base and from each other: most of what they lack or add is never a row, and rows grow with the members, not with pairs."""
+    random.seed(6)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base)] + [" ".join(edited(base, random.randint(5, 12))) for _ in range(150)]
+    stored, rows = near_copies.stored, {"differences": [], "beginnings": [], "whole": []}
+
+    def counted(df, what):
+        out = stored(df, what)
+        if what in rows:
+            rows[what].append(out.count())
+        if what == "differences":
+            rows["whole"].append(out.selectExpr("sum(n_d)").first()[0])
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = homes(dict(enumerate(texts)))
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == set(want.values())
+    assert rows["differences"] and sum(rows["beginnings"]) < 0.75 * sum(rows["whole"])
+    assert max(rows["differences"]) <= len(texts)
